@@ -207,7 +207,9 @@ def commitment_lineage(
         F.col("gift_date_dim_id").alias("date_dim_id"),
     )
     years = calendar.select("date_dim_id", F.col("fiscal_year").alias("pledge_fiscal_year"))
-    rows = balanced_lookup(links, commitments, "gift_commitment_system_id", "inner")
+    rows = balanced_lookup(
+        links, commitments, "gift_commitment_system_id", "inner", measure=installment_payment
+    )
     return lookup(rows, years, "date_dim_id").select(
         "gift_fact_id", "commitment_gift_fact_id", "pledge_fiscal_year"
     )

@@ -29,10 +29,15 @@ SALTS = 32
 BROADCAST_DEFAULT = 10 * 1024 * 1024
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a DataFrame, or None where it is not exposed."""
+def source_bytes(df: DataFrame) -> int | None:
+    """Size of the tables a DataFrame reads, or None where Spark does not tell.
+
+    Summed over the sources: Catalyst's estimate for a join is the product of its
+    sides, which says nothing about a dimension put together from two tables.
+    """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
     except (AttributeError, PySparkException):
         return None
 
@@ -47,8 +52,12 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether Spark's own size check would broadcast this side."""
-    size = estimated_bytes(df)
+    """Whether the side reads less than Spark's broadcast limit.
+
+    It only decides against salting.  Whether the side is broadcast stays with
+    Spark, which measures it.
+    """
+    size = source_bytes(df)
     return size is not None and size <= broadcast_limit(df)
 
 
@@ -136,10 +145,15 @@ def balanced_lookup(
 def sparse_lookup(
     fact: DataFrame, side: DataFrame, keys: str | Sequence[str], salts: int = SALTS * 8
 ) -> DataFrame:
-    """Left join on keys that are NULL on many fact rows."""
+    """Left join on keys that are NULL on many fact rows.
+
+    Keyed rows of both sides get salt 0.  It is written as a remainder of the key
+    and not as a literal: a literal would be folded out of the join keys, and the
+    NULL rows would meet in one task again.
+    """
     keys = _names(keys)
-    nothing = F.lit(0)
     unkeyed = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
-    left = fact.withColumn("_salt", F.when(unkeyed, _spread(fact, salts)).otherwise(nothing))
-    right = side.withColumn("_salt", nothing)
+    keyed = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
+    left = fact.withColumn("_salt", F.when(unkeyed, _spread(fact, salts) + 1).otherwise(keyed))
+    right = side.withColumn("_salt", keyed)
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")
