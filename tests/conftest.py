@@ -33,6 +33,15 @@ def data_dir():
     return DATA
 
 
+@pytest.fixture(scope="session")
+def plan(spark, data_dir):
+    """The whole mailing over the retail data, each shared stage computed once."""
+    from patronage.plans import MailingPlan
+    from patronage.sources.retail import retail_warehouse
+
+    return MailingPlan(retail_warehouse(spark, data_dir), stage_mode="table")
+
+
 @pytest.fixture
 def table(spark):
     """Rows as dicts -> a warehouse table with its declared schema."""

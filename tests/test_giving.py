@@ -243,14 +243,6 @@ def test_is_matching_gift(spark, kind, sub, cg, expected):
 # --- properties over the retail data -------------------------------------
 
 
-@pytest.fixture(scope="module")
-def plan(spark, data_dir):
-    from patronage.plans import MailingPlan
-    from patronage.sources.retail import retail_warehouse
-
-    return MailingPlan(retail_warehouse(spark, data_dir), stage_mode="table")
-
-
 def _year_turn(plan, year):
     """Giving of one grace year, computed alone as one turn of a yearly loop."""
     policy = GivingPolicy(strict_years=(), grace_years=(year,))

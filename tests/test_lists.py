@@ -179,11 +179,7 @@ def test_exclude_list_names_each_rule_once(table, person):
     ]
 
 
-def test_list_and_exclusions_are_disjoint(spark, data_dir):
-    from patronage.plans import MailingPlan
-    from patronage.sources.retail import retail_warehouse
-
-    plan = MailingPlan(retail_warehouse(spark, data_dir), stage_mode="table")
+def test_list_and_exclusions_are_disjoint(plan):
     listed, excluded = plan.household_list, plan.exclude_list.select(PERSON)
     assert listed.count() > 0
     assert listed.join(excluded, PERSON, "left_semi").count() == 0
