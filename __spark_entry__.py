@@ -213,7 +213,7 @@ QUERIES: dict[str, Callable[[MailingPlan], DataFrame]] = {
     # segments, asks, extract
     "segment": lambda p: p.segments,
     "year_totals": lambda p: segments.year_totals(p.giving, (2017, 2016)),
-    "distinct_years": lambda p: segments.distinct_years(giving.annual_giving(p.wh.production)),
+    "distinct_years": lambda p: segments.distinct_years(p.annual_years),
     "avg_per_year": lambda p: p.averages,
     "ask_ladder": _ask_ladder,
     "ask_snap": lambda p: p.asks,
@@ -265,6 +265,7 @@ SINGLE_PASS = {
     "production_gifts",
     "primary_education",
     "last_ledger_year",
+    "distinct_years",
     "rank_recency",
     "rank_money",
     "rank_frequency",

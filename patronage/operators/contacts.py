@@ -111,29 +111,39 @@ def phone_rank(policy: PhonePolicy) -> Column:
         listed = F.array(*[F.lit(t) for t in ladder])
         return F.nullif(F.array_position(listed, phone_type), F.lit(0).cast("bigint"))
 
+    at_home = F.col("address_type") == policy.address_type
     top = step(policy.preferred_ladder) * 2 - F.when(is_yes("preferred"), 1).otherwise(0)
     below = step(policy.other_ladder) + 2 * len(policy.preferred_ladder)
-    return F.coalesce(F.when(F.col("address_type") == policy.address_type, top), below)
+    return F.when(
+        at_home & starts_with_any("phone_type", policy.type_prefixes), F.coalesce(top, below)
+    )
 
 
-def best_contact(address: DataFrame, phone: DataFrame, policy: PhonePolicy = HOME_PHONE) -> DataFrame:
-    """Best phone number per person."""
+def ranked_phones(address: DataFrame, phone: DataFrame, policies: dict[str, PhonePolicy]) -> DataFrame:
+    """Usable phones with one rank column per policy, on at least one ladder."""
     keys = [PERSON, "constituent_address_system_id"]
-    addresses = address.where(F.col("address_type") == policy.address_type).select(
+    prefixes = [p for policy in policies.values() for p in policy.type_prefixes]
+    places = {policy.address_type for policy in policies.values()}
+    addresses = address.where(F.col("address_type").isin(*places)).select(
         *keys, "address_type", "preferred"
     )
-    phones = phone.where(
-        clean_phone_filter() & starts_with_any("phone_type", policy.type_prefixes)
-    ).select(*keys, "phone_type", "phone_number")
-    rows = (
-        balanced_lookup(phones, addresses, keys, "inner")
-        .withColumn("rank", phone_rank(policy))
-        .where(F.col("rank").isNotNull())
-        .select(PERSON, "phone_number", "phone_type", "rank")
+    phones = phone.where(clean_phone_filter() & starts_with_any("phone_type", prefixes)).select(
+        *keys, "phone_type", "phone_number"
     )
-    return pick_one(rows, [PERSON], [F.col("rank"), F.col("phone_number"), F.col("phone_type")]).drop(
-        "rank"
+    rows = balanced_lookup(phones, addresses, keys, "inner").select(
+        PERSON,
+        "phone_number",
+        "phone_type",
+        *[phone_rank(policy).alias(name) for name, policy in policies.items()],
     )
+    return rows.where(F.coalesce(*policies).isNotNull())
+
+
+def best_contact(address: DataFrame, phone: DataFrame, policy: PhonePolicy = HOME_PHONE) -> DataFrame:
+    """Best phone number per person; ties go to the lowest number."""
+    rows = ranked_phones(address, phone, {"rank": policy})
+    order = [F.col(c) for c in ("rank", "phone_number", "phone_type")]
+    return pick_one(rows, [PERSON], order).drop("rank")
 
 
 def contact_sheet(
@@ -145,18 +155,25 @@ def contact_sheet(
 ) -> DataFrame:
     """Best home phone and best cell phone of living, active individuals.
 
-    People with neither stay in as blank rows; :func:`reachable` drops them.
+    Both come from one grouped pass over the phones.  People with neither stay in
+    as blank rows; :func:`reachable` drops them.
     """
     people = constituent.where(
         F.col("constituent_id").isNotNull()
         & (F.col(PERSON) != fv.UNKNOWN_MEMBER_KEY)
         & active_individual()
     ).select(PERSON)
-    rows = people
-    for policy, name in ((home, "home_phone"), (cell, "home_cell")):
-        best = best_contact(address, phone, policy).select(PERSON, F.col("phone_number").alias(name))
-        rows = lookup(rows, best, PERSON)
-    return rows
+
+    def best(rank: str) -> Column:
+        choice = F.struct(rank, "phone_number", "phone_type")
+        return F.min(F.when(F.col(rank).isNotNull(), choice))["phone_number"]
+
+    numbers = (
+        ranked_phones(address, phone, {"home_rank": home, "cell_rank": cell})
+        .groupBy(PERSON)
+        .agg(best("home_rank").alias("home_phone"), best("cell_rank").alias("home_cell"))
+    )
+    return lookup(people, numbers, PERSON)
 
 
 def reachable(sheet: DataFrame) -> DataFrame:
@@ -186,7 +203,7 @@ def primary_employer(relationship: DataFrame, constituent: DataFrame) -> DataFra
     employers = constituent.where(F.col("full_name") != fv.UNKNOWN_EMPLOYER).select(
         F.col(PERSON).alias("related_constituent_dim_id"), "full_name"
     )
-    rows = lookup(jobs, employers, "related_constituent_dim_id", "inner")
+    rows = balanced_lookup(jobs, employers, "related_constituent_dim_id", "inner")
     return pick_one(
         rows,
         [PERSON],

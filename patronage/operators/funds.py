@@ -10,7 +10,7 @@ from .. import fixed_values as fv
 from ..functions import MONEY, blank, rank_points
 from ..policy import FundRule, SuggestionPolicy
 from .generic import PERSON, keep_members, ranked, union_all
-from .skew import lookup
+from .skew import balanced_lookup, lookup
 
 FUND = "fund_identifier_trans"
 SUGGESTION_COLUMNS = (
@@ -41,7 +41,7 @@ def fund_affinity(gifts: DataFrame, fund: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("gift_count"),
         )
     )
-    return lookup(totals, known, FUND, "left_semi")
+    return balanced_lookup(totals, known, FUND, "left_semi", measure=gifts)
 
 
 def _rank_by(affinity: DataFrame, measure: str, name: str = "seq") -> DataFrame:
@@ -209,8 +209,10 @@ def academic_funds(
             )
         return result
 
-    departments = lookup(people, by_department, ["school_type_trans", "department"], "inner")
-    colleges = lookup(people, by_college, "school_type_trans", "inner")
+    departments = balanced_lookup(
+        people, by_department, ["school_type_trans", "department"], "inner", degrees
+    )
+    colleges = balanced_lookup(people, by_college, "school_type_trans", "inner", degrees)
     return union_all(
         [
             _exploded(departments, suggestions(policy.department_orders, "Department")),
@@ -222,7 +224,7 @@ def academic_funds(
 def with_fund(rows: DataFrame, fund: DataFrame) -> DataFrame:
     """Add the description; suggestions of unknown funds drop out."""
     known = fund.select("fund_identifier", "fund_description")
-    return lookup(rows, known, "fund_identifier", "inner").select(*SUGGESTION_COLUMNS)
+    return balanced_lookup(rows, known, "fund_identifier", "inner").select(*SUGGESTION_COLUMNS)
 
 
 def rule_cascade(

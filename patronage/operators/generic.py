@@ -37,12 +37,18 @@ def union_all(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _keys_once(members: DataFrame, key: str) -> DataFrame:
+    """Each key once.  Combined before the shuffle the join needs anyway, so a key
+    with very many member rows reaches it as one row per task."""
+    return members.select(key).distinct()
+
+
 def keep_members(df: DataFrame, members: DataFrame, key: str = PERSON) -> DataFrame:
-    return df.join(members.select(key), key, "left_semi")
+    return df.join(_keys_once(members, key), key, "left_semi")
 
 
 def drop_members(df: DataFrame, members: DataFrame, key: str = PERSON) -> DataFrame:
-    return df.join(members.select(key), key, "left_anti")
+    return df.join(_keys_once(members, key), key, "left_anti")
 
 
 def flag_members(members: DataFrame, name: str, key: str = PERSON) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed_values as fv
 from ..functions import MONEY, active_individual, fiscal_year, money
 from ..policy import GivingPolicy, ProjectionPolicy
-from .generic import PERSON, flag_members, pick_one, union_all
+from .generic import PERSON, flag_members, keep_members, pick_one, union_all
 from .skew import balanced_lookup, lookup, sparse_lookup
 
 INCLUDE = "Include"
@@ -142,16 +142,15 @@ def planned_gift_dates(
 ) -> DataFrame:
     """The planned-gift date each realised planned gift belongs to."""
     realized = gift_attribute.where(F.col("attribute_category") == fv.REALIZED_ATTRIBUTE)
-    rows = ledger.where(F.col(PERSON) == F.col("giver_dim_id")).join(
-        realized.select("gift_fact_id"), "gift_fact_id", "left_semi"
-    )
+    given = ledger.where(F.col(PERSON) == F.col("giver_dim_id"))
+    rows = keep_members(given, realized, "gift_fact_id")
     originals = gift.select(
         F.col("gift_system_id").alias("planned_gift_id"),
         F.col("gift_date").alias("original_date"),
         F.lit(True).alias("has_original"),
     )
     rows = sparse_lookup(rows, originals, "planned_gift_id")
-    rows = lookup(rows, first_last_by_type(ledger), PERSON)
+    rows = balanced_lookup(rows, first_last_by_type(ledger), PERSON, measure=ledger)
     linked_date = F.col("original_date" if policy.use_original_planned_date else "entry_date")
     planned = (
         F.when(F.col("has_original"), linked_date)
@@ -465,7 +464,7 @@ def giving_per_fiscal_year(
 def solicitable_funds(fund: DataFrame, campaign_list: DataFrame) -> DataFrame:
     """Funds that are on the campaign's list."""
     listed = campaign_list.select(F.col("designation").alias("fund_identifier"))
-    return fund.join(listed, "fund_identifier", "left_semi").select("fund_dim_id", "fund_identifier")
+    return keep_members(fund, listed, "fund_identifier").select("fund_dim_id", "fund_identifier")
 
 
 def translate_fund(
@@ -560,12 +559,15 @@ def production_gifts(
     )
 
 
-def annual_giving(production: DataFrame) -> DataFrame:
-    """Production rows defined as annual giving, from the accepted sources."""
-    return production.where(
+def annual_giving_years(production: DataFrame) -> DataFrame:
+    """Distinct (person, fiscal year) of giving defined as annual giving.
+
+    Reads the production table once for every list and segment rule that asks
+    when somebody gave.
+    """
+    annual = (
         (F.col("is_ag_gift") == fv.YES)
         & (F.col("cgpr_amount") > 0)
         & F.col("data_source").isin(fv.DATA_SOURCE_DEVELOPMENT, *fv.DATA_SOURCES_ALWAYS)
     )
-
-
+    return production.where(annual).select(PERSON, "fiscal_year").distinct()

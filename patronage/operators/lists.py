@@ -8,22 +8,22 @@ from .. import fixed_values as fv
 from ..functions import blank, or_empty, starts_with_any
 from ..policy import AudiencePolicy
 from .generic import PERSON, drop_members, flag_members, keep_members, union_all
-from .giving import annual_giving
 from .skew import balanced_lookup, lookup
 
 
 def include_list(
     giving: DataFrame,
-    production: DataFrame,
+    annual_years: DataFrame,
     primary_code: DataFrame,
     policy: AudiencePolicy = AudiencePolicy(),
 ) -> DataFrame:
-    """Donors of the given years and annual-giving donors, by primary code."""
+    """Donors of the given years and annual-giving donors, by primary code.
+
+    ``annual_years`` is :func:`giving.annual_giving_years`.
+    """
     first, last = policy.annual_giving_years
     donors = giving.where(F.col("fiscal_year").isin(*policy.giving_years)).select(PERSON)
-    annual = (
-        annual_giving(production).where(F.col("fiscal_year").between(first, last)).select(PERSON)
-    )
+    annual = annual_years.where(F.col("fiscal_year").between(first, last)).select(PERSON)
     coded = primary_code.where(F.col("constituent_code").isin(*policy.included_codes))
     return keep_members(union_all([donors, annual]).distinct(), coded)
 

@@ -11,7 +11,6 @@ from .. import fixed_values as fv
 from ..functions import MONEY, money
 from ..policy import SegmentPolicy
 from .generic import PERSON, flag_members, union_all
-from .giving import annual_giving
 from .skew import lookup
 
 ASKS = ("ask_1", "ask_2", "ask_3")
@@ -107,10 +106,13 @@ def segment(
     members: DataFrame,
     donor_types: DataFrame,
     giving: DataFrame,
-    production: DataFrame,
+    annual_years: DataFrame,
     policy: SegmentPolicy = SegmentPolicy(),
 ) -> DataFrame:
-    """Marketing segment of each member that has a donor type."""
+    """Marketing segment of each member that has a donor type.
+
+    ``annual_years`` is :func:`giving.annual_giving_years`.
+    """
     current = giving.where(
         F.col("fiscal_year").isin(*policy.current_years) & (F.col("amount") > 0)
     )
@@ -118,7 +120,7 @@ def segment(
         members.select(PERSON), donor_types.select(PERSON, "dpag_donor_type_bucket"), PERSON, "inner"
     )
     rows = lookup(rows, flag_members(current, "is_current"), PERSON)
-    rows = lookup(rows, distinct_years(annual_giving(production)), PERSON)
+    rows = lookup(rows, distinct_years(annual_years), PERSON)
     name = (
         F.when(F.col("is_current"), policy.current)
         .when(F.col("dpag_donor_type_bucket") == policy.lapsed_bucket, policy.lapsed_4plus)

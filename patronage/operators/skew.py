@@ -2,10 +2,10 @@
 
 ``lookup``           plain join.  Spark broadcasts a small side after measuring it
                      and splits skewed partitions at run time (AQE).
-``balanced_lookup``  for a base fact joined on a key that may be hot.  A side over
-                     the broadcast limit is shuffled with the hot keys salted: their
-                     fact rows spread over several tasks, and only those keys' rows
-                     of the other side are repeated.
+``balanced_lookup``  for a base fact joined on a key that may be hot.  A side under
+                     the broadcast limit is broadcast.  A larger one is shuffled with
+                     the hot keys salted: their fact rows spread over several tasks,
+                     and only those keys' rows of the other side are repeated.
 ``sparse_lookup``    for a key that is NULL on many rows.  Those rows match nothing
                      and are spread instead of meeting in one task.
 
@@ -52,10 +52,9 @@ def broadcast_limit(df: DataFrame) -> int:
 
 
 def is_small(df: DataFrame) -> bool:
-    """Whether the side reads less than Spark's broadcast limit.
+    """Whether everything the side reads stays under Spark's broadcast limit.
 
-    It only decides against salting.  Whether the side is broadcast stays with
-    Spark, which measures it.
+    For sides that are unique on their key, which cannot outgrow their sources.
     """
     size = source_bytes(df)
     return size is not None and size <= broadcast_limit(df)
@@ -134,11 +133,14 @@ def balanced_lookup(
 ) -> DataFrame:
     """Join a fact on a key that may be hot to a side read straight from a table.
 
+    A side whose source files stay under the broadcast limit is broadcast, which
+    no hot key disturbs; beyond the limit the join is salted.
+
     ``measure`` is the table to take the hot keys from when ``fact`` is already a
     chain of joins; the chain is then not computed a second time for it.
     """
     if is_small(side):
-        return lookup(fact, side, keys, how)
+        return lookup(fact, F.broadcast(side), keys, how)
     return salted_join(fact, side, _names(keys), how, measure)
 
 

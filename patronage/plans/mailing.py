@@ -14,7 +14,7 @@ from ..fixed_values import EXTRACT_HEADINGS
 from ..functions import money_text, or_empty
 from ..operators import contacts, funds, giving, lists, segments
 from ..operators.generic import PERSON, pivot_top_n
-from ..operators.skew import lookup
+from ..operators.skew import lookup, sparse_lookup
 from ..operators.stage import materialize
 from ..policy import ExtractPolicy
 from ..sources import Warehouse
@@ -73,6 +73,10 @@ class MailingPlan:
             )
         )
 
+    @cached_property
+    def annual_years(self) -> DataFrame:
+        return self._keep("annual_years", giving.annual_giving_years(self.wh.production))
+
     @cached_property
     def solicitable(self) -> DataFrame:
         return giving.solicitable_funds(self.wh.fund, self.wh.solicitable_fund)
@@ -96,7 +100,7 @@ class MailingPlan:
     @cached_property
     def include_list(self) -> DataFrame:
         return lists.include_list(
-            self.giving, self.wh.production, self.wh.primary_code, self.policy.audience
+            self.giving, self.annual_years, self.wh.primary_code, self.policy.audience
         )
 
     @cached_property
@@ -220,7 +224,7 @@ class MailingPlan:
                 self.household_list,
                 self.donor_types,
                 self.giving,
-                self.wh.production,
+                self.annual_years,
                 self.policy.segments,
             )
         )
@@ -270,7 +274,7 @@ class MailingPlan:
         members = self.wh.constituent.select(PERSON, "spouse_constituent_system_id", *person).join(
             self.segments, PERSON
         )
-        rows = lookup(members, spouses, "spouse_constituent_system_id")
+        rows = sparse_lookup(members, spouses, "spouse_constituent_system_id")
         return rows.withColumns({n: or_empty(n) for n in spouse_fields.values()})
 
     def _figures(self) -> list[DataFrame]:

@@ -4,6 +4,7 @@ import pytest
 
 from patronage.operators import segments
 from patronage.operators.generic import PERSON
+from patronage.operators.giving import annual_giving_years
 
 MULTI = "2YRG2-3LAPSED"
 
@@ -67,7 +68,9 @@ def test_segment_branches(spark, table):
         "production",
         [gift(3, 2010), gift(3, 2010), gift(4, 2010), gift(4, 2012), gift(7, 2010, is_ag_gift="No")],
     )
-    got = segments.segment(members, donor_types, giving, production).collect()
+    got = segments.segment(
+        members, donor_types, giving, annual_giving_years(production)
+    ).collect()
     assert {r[PERSON]: r["marketing_segment"] for r in got} == {
         1: "16&17DONOR",
         2: "4PLUS",
