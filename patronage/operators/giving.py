@@ -77,7 +77,7 @@ def gift_ledger(
         "gift_type",
         "gift_date",
     )
-    rows = balanced_lookup(rows, people, PERSON, "inner")
+    rows = balanced_lookup(rows, people, PERSON, "inner", by=["cg_fact_id"])
     rows = lookup(rows, credits, "gift_fact_id", "inner")
     return lookup(rows, gifts, "gift_fact_id", "inner").select(
         *LEDGER_COLUMNS, "face_amount", "entry_date", "giver_dim_id", "planned_gift_id"
@@ -116,7 +116,7 @@ def projected_gifts(
         F.lit(fv.ANNUAL_PROJECTION).alias("re_gift_type"),
     )
     people = people.where(F.col("constituent_id").isNotNull())
-    return balanced_lookup(due, people, "constituent_id", "inner").select(*LEDGER_COLUMNS)
+    return balanced_lookup(due, people, "constituent_id", "inner", by=["cg_fact_id"]).select(*LEDGER_COLUMNS)
 
 
 # --- planned gifts --------------------------------------------------------
@@ -149,8 +149,10 @@ def planned_gift_dates(
         F.col("gift_date").alias("original_date"),
         F.lit(True).alias("has_original"),
     )
-    rows = sparse_lookup(rows, originals, "planned_gift_id")
-    rows = balanced_lookup(rows, first_last_by_type(ledger), PERSON, measure=ledger)
+    rows = sparse_lookup(rows, originals, "planned_gift_id", by=["gift_fact_id"])
+    rows = balanced_lookup(
+        rows, first_last_by_type(ledger), PERSON, measure=ledger, by=["gift_fact_id"]
+    )
     linked_date = F.col("original_date" if policy.use_original_planned_date else "entry_date")
     planned = (
         F.when(F.col("has_original"), linked_date)
@@ -396,7 +398,7 @@ def mark_credited(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     credits = credited_commitments(ledger).select(
         PERSON, F.col("gift_fact_id").alias("commitment_gift_fact_id"), F.lit(True).alias("is_credited")
     )
-    return sparse_lookup(rows, credits, [PERSON, "commitment_gift_fact_id"])
+    return sparse_lookup(rows, credits, [PERSON, "commitment_gift_fact_id"], by=["cg_fact_id"])
 
 
 def dedupe_payments(
@@ -474,6 +476,7 @@ def translate_fund(
     column: str = "fund_identifier",
     name: str = "fund_identifier_trans",
     measure: DataFrame | None = None,
+    by: Sequence[str] | None = None,
 ) -> DataFrame:
     """The fund itself where it can be solicited, else its suggested
     replacement, else the fund itself."""
@@ -482,9 +485,11 @@ def translate_fund(
         F.min("suggested_fund_identifier").alias("_suggested"), F.lit(True).alias("_mapped")
     )
     fund = F.col(column)
-    rows = balanced_lookup(df, kept.withColumnRenamed("fund_identifier", column), column, "left", measure)
     rows = balanced_lookup(
-        rows, mapped.withColumnRenamed("fund_identifier", column), column, "left", measure
+        df, kept.withColumnRenamed("fund_identifier", column), column, "left", measure, by
+    )
+    rows = balanced_lookup(
+        rows, mapped.withColumnRenamed("fund_identifier", column), column, "left", measure, by
     )
     chosen = (
         F.when(F.col("_solicitable"), fund).when(F.col("_mapped"), F.col("_suggested")).otherwise(fund)
@@ -533,15 +538,16 @@ def production_gifts(
         "is_ag_gift",
     )
     gifts = gift.select("gift_fact_id", "fund_dim_id", "appeal_dim_id")
-    rows = balanced_lookup(rows, gifts, "gift_fact_id", "inner")
+    row_id = ["ocpr_dim_id"]
+    rows = balanced_lookup(rows, gifts, "gift_fact_id", "inner", by=row_id)
     rows = balanced_lookup(
-        rows, fund.select("fund_dim_id", "is_inactive"), "fund_dim_id", "inner", gift
+        rows, fund.select("fund_dim_id", "is_inactive"), "fund_dim_id", "inner", gift, row_id
     )
     appeals = appeal.select(
         "appeal_dim_id", "appeal_identifier", F.col("campaign_identifier").alias("appeal_campaign")
     )
-    rows = balanced_lookup(rows, appeals, "appeal_dim_id", "left", gift)
-    rows = translate_fund(rows, solicitable, translation, measure=production)
+    rows = balanced_lookup(rows, appeals, "appeal_dim_id", "left", gift, row_id)
+    rows = translate_fund(rows, solicitable, translation, measure=production, by=row_id)
     return rows.select(
         "ocpr_dim_id",
         PERSON,

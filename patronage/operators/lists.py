@@ -108,7 +108,11 @@ def mailability_rules(
     states = us_state.where(F.col("state").isNotNull()).select(F.rtrim("state").alias("state_key"))
     rows = lookup(people, flag_members(held, "is_held"), PERSON)
     rows = balanced_lookup(
-        rows, flag_members(states, "is_home_state", "state_key"), "state_key", "left", people
+        rows,
+        flag_members(states, "is_home_state", "state_key"),
+        "state_key",
+        measure=people,
+        by=[PERSON],
     )
     return rows.select(PERSON, mailability_reason(policy).alias("reason")).where(
         F.col("reason").isNotNull()

@@ -80,9 +80,14 @@ def heavy_hitters(df: DataFrame, keys: Sequence[str], share: float = HOT_KEY_SHA
     )
 
 
-def _spread(fact: DataFrame, salts: int) -> Column:
-    """Salt from the row itself, so a recomputed task gives its rows the same salts."""
-    return F.pmod(F.xxhash64(*fact.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
+def _spread(fact: DataFrame, salts: int, by: Sequence[str] | None = None) -> Column:
+    """Salt from the row itself, so a recomputed task gives its rows the same salts.
+
+    ``by`` names columns that tell the rows of one key apart.  Give a row id where
+    there is one: hashing every column would keep them all from being pruned.
+    """
+    columns = fact.columns if by is None else by
+    return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), F.lit(salts)).cast("int")
 
 
 def salted_join(
@@ -91,6 +96,7 @@ def salted_join(
     keys: Sequence[str],
     how: str,
     measure: DataFrame | None = None,
+    by: Sequence[str] | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join with the hot keys of ``fact`` spread over ``salts`` tasks each."""
@@ -103,7 +109,7 @@ def salted_join(
 
     left = (
         marked(fact)
-        .withColumn("_salt", F.when(is_hot, _spread(fact, salts)).otherwise(nothing))
+        .withColumn("_salt", F.when(is_hot, _spread(fact, salts, by)).otherwise(nothing))
         .drop("_h", "_hot")
     )
     every_salt = F.sequence(nothing, F.lit(salts - 1))
@@ -130,6 +136,7 @@ def balanced_lookup(
     keys: str | Sequence[str],
     how: str = "left",
     measure: DataFrame | None = None,
+    by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join a fact on a key that may be hot to a side read straight from a table.
 
@@ -141,11 +148,15 @@ def balanced_lookup(
     """
     if is_small(side):
         return lookup(fact, F.broadcast(side), keys, how)
-    return salted_join(fact, side, _names(keys), how, measure)
+    return salted_join(fact, side, _names(keys), how, measure, by)
 
 
 def sparse_lookup(
-    fact: DataFrame, side: DataFrame, keys: str | Sequence[str], salts: int = SALTS * 8
+    fact: DataFrame,
+    side: DataFrame,
+    keys: str | Sequence[str],
+    by: Sequence[str] | None = None,
+    salts: int = SALTS * 8,
 ) -> DataFrame:
     """Left join on keys that are NULL on many fact rows.
 
@@ -156,6 +167,6 @@ def sparse_lookup(
     keys = _names(keys)
     unkeyed = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
     keyed = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
-    left = fact.withColumn("_salt", F.when(unkeyed, _spread(fact, salts) + 1).otherwise(keyed))
+    left = fact.withColumn("_salt", F.when(unkeyed, _spread(fact, salts, by) + 1).otherwise(keyed))
     right = side.withColumn("_salt", keyed)
     return left.join(right, [*keys, "_salt"], "left").drop("_salt")

@@ -274,7 +274,7 @@ class MailingPlan:
         members = self.wh.constituent.select(PERSON, "spouse_constituent_system_id", *person).join(
             self.segments, PERSON
         )
-        rows = sparse_lookup(members, spouses, "spouse_constituent_system_id")
+        rows = sparse_lookup(members, spouses, "spouse_constituent_system_id", by=[PERSON])
         return rows.withColumns({n: or_empty(n) for n in spouse_fields.values()})
 
     def _figures(self) -> list[DataFrame]:
