@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from patronage.llm import chat, packing, token_counts, url_rules
+from patronage.llm import chat, packing, quality, token_counts, url_rules
 from patronage.llm.common import table
 
 # The rules of op5.
@@ -29,6 +29,11 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.quality_rules(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *quality.STATS, "base_failed", "distance", "kept")
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.sql(HARD_CONVERSATION))
@@ -50,6 +55,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op5_url_filter": op5_url_filter,
     "op8_token_counts": op8_token_counts,
