@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.llm import chat, packing, quality, token_counts, url_rules
+from patronage.llm import chat, mixing, packing, quality, token_counts, url_rules
 from patronage.llm.common import table
 
 # The rules of op5.
@@ -29,6 +29,13 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = mixing.mix_sources(docs)
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda n, draw: n + draw["words"])
+    return mixed.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", *quality.STATS, "base_failed", "distance", "kept")
@@ -55,6 +62,7 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": op2_mix_sources,
     "op3_quality_rules": op3_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op5_url_filter": op5_url_filter,
