@@ -7,7 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from patronage.llm import chat, mixing, ngram_join, packing, quality, token_counts, url_rules
+from patronage.llm import (
+    chat,
+    language_id,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    token_counts,
+    toxicity,
+    url_rules,
+)
 from patronage.llm.common import table
 
 # The rules of op5.
@@ -58,10 +68,26 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    categories = [("low_quality", 1 - F.col("quality")), ("toxic", F.col("toxic"))]
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), categories)
+    return toxicity.score_toxicity(docs, model)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train_on_documents(docs)
+    read = docs.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return language_id.identify_languages(read, model).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
 def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
@@ -72,7 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op5_url_filter": op5_url_filter,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_language_id": op9_language_id,
     "op10_pattern_packing": op10_pattern_packing,
 }
 
