@@ -11,6 +11,7 @@ from patronage.llm import (
     chat,
     language_id,
     mixing,
+    neighbours,
     ngram_join,
     packing,
     quality,
@@ -68,6 +69,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest_neighbours(rows, F.col("id") % 20 == 0)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     categories = [("low_quality", 1 - F.col("quality")), ("toxic", F.col("toxic"))]
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_chat_format": op4_chat_format,
     "op5_url_filter": op5_url_filter,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
