@@ -291,11 +291,26 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["giving_per_fiscal_year"](spark, FLAGSHIP_DIR)
 
 
+def _training_data() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """Queries and SQL of the training-data operators, where they are installed."""
+    try:
+        import corpus_pipeline
+        from patronage.llm import queries as llm
+    except ModuleNotFoundError as error:
+        if (error.name or "").split(".")[0] == "corpus_pipeline" or error.name == "patronage.llm":
+            return {}, {}
+        raise
+    sql = dict(llm.SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**llm.QUERIES, "pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """One entry per operator; each takes (spark, sf_dir)."""
-    return {name: _query(name) for name in QUERIES}
+    return {name: _query(name) for name in QUERIES} | _training_data()[0]
 
 
 def oracle_sql() -> dict[str, str]:
     """The same results in SQL for DuckDB."""
-    return {name: oracle(name) for name in FINAL}
+    return {name: oracle(name) for name in FINAL} | _training_data()[1]
