@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from patronage.llm.common import stage
 
 
-def components(edges: DataFrame, kind: str = "string") -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for edges (a, b): the least node of each node's component.
 
     Each round takes the least label of a node's neighbours and then the label of that

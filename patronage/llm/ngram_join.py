@@ -7,6 +7,10 @@ have them, then by hash.
 *Sample*: a row's ``SKETCH`` least hashes.  Of two sets at the threshold, each of the
 union's least hashes is in both with the threshold's chance, so two samples share fewer
 than ``LEAST_SHARED`` of 128 with a chance below 1e-12; smaller sets are held whole.
+*Signature*: one bit of each of 256 minimum hashes.  Sets at the threshold differ in a tenth
+of the bits; over ``MOST_DIFFERENT`` of 256 has a chance below 1e-12.  A pair is only made
+if sizes and signatures let it reach the threshold; this is tested where columns meet, so
+documents that share a passage make no pair.
 *Bound*: rows that share s of their sampled columns share one within the first
 ``size - s + 1`` in the common order, rarest first, so only that many of a row's columns
 take part.  A column of one row links nothing and is dropped at once, which ends most rows.
@@ -42,6 +46,9 @@ SKETCH = 128
 LEAST_SHARED = 64
 WHOLE_BELOW = 103  # a set under this has all its partners' shared shingles sampled
 CACHED_WORDS = 1_000_000
+SIGNATURE = 256  # bits
+MOST_DIFFERENT = 60
+SIGNS = [f"s{i}" for i in range(SIGNATURE // 64)]
 
 
 class Shingles:
@@ -76,6 +83,33 @@ class Shingles:
         return np.unique(mixed)
 
 
+def signature(members: np.ndarray) -> np.ndarray:
+    """Four 64-bit words: one bit of the least of each of 256 hashes of the members."""
+    least = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(members), 512):
+        part = members[start : start + 512]
+        hashed = (part[None, :] ^ FLIPS[:, None]) * FACTORS[:, None]
+        np.minimum(least, hashed.min(axis=1), out=least)
+    bits = (_mixed(least) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits).view(np.uint64)
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ (values >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ (values >> np.uint64(32))
+
+
+FLIPS, FACTORS = np.array(
+    [[xxhash.xxh3_64_intdigest(b"flip %d" % i), xxhash.xxh3_64_intdigest(b"factor %d" % i) | 1] for i in range(SIGNATURE)],
+    np.uint64,
+).T.copy()
+
+
+def set_id(members: np.ndarray) -> int:
+    """A signed 64-bit digest of a whole set."""
+    return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
+
+
 def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
@@ -97,14 +131,15 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
                 {
                     "k": batch.column("k"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets],
+                    "set_id": pa.array([set_id(s) for s in sets], pa.int64()),
                     "sketch": _lists([s[:SKETCH] for s in sets]),
                 }
+                | dict(zip(SIGNS, _signed(np.array([signature(s) for s in sets]).reshape(-1, len(SIGNS)).T.copy()), strict=True))
             )
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    schema = f"k {kind}, n_shingles long, set_id string, sketch array<long>"
+    schema = f"k {kind}, n_shingles long, set_id long, sketch array<long>, " + ", ".join(f"{s} long" for s in SIGNS)
     return rows.mapInArrow(read, schema).withColumnRenamed("k", key)
 
 
@@ -122,16 +157,20 @@ def _sets(docs: DataFrame, wanted: DataFrame, key_sets: DataFrame, key: str) ->
         for batch in batches:
             sets = [shingles.of(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch(
-                {"set_id": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "members": _lists(sets)}
+                {"set_id": pa.array([set_id(s) for s in sets], pa.int64()), "members": _lists(sets)}
             )
 
-    made = texts.select("text").mapInArrow(read, "set_id string, members array<long>")
+    made = texts.select("text").mapInArrow(read, "set_id long, members array<long>")
     # several rows may carry one id; the digest tells whose set it is
     return made.groupBy("set_id").agg(F.first("members").alias("members"))
 
 
-def _can_reach(small: Column, large: Column, percent: int) -> Column:
-    return 100 * F.least(small, large) >= percent * F.greatest(small, large)
+def _can_reach(percent: int) -> Column:
+    """Whether the rows (n, s0..) and (m, t0..) may be at the threshold."""
+    different = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"t{i}"))) for i, s in enumerate(SIGNS[1:], 1)),
+                    F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))))
+    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    return sizes & (different <= MOST_DIFFERENT)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -178,16 +217,23 @@ def ngram_jaccard_join(
     read = stage(sketches(docs, "text", key), "sketches")
     key_sets = read.select(key, "set_id")
     sets = read.where("n_shingles > 0").groupBy("set_id").agg(
-        F.min(key).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
-    )
+        F.min(key).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
+        *[F.first(s).alias(s) for s in SIGNS],
+    )
     sets = stage(sets, "sets")
     held = entries(sets)
 
-    first = held.groupBy("gram").agg(F.min(F.struct("set_id", "n")).alias("first"))
+    signs = sets.select("set_id", *SIGNS)
+    held = stage(held.join(signs, "set_id"), "signed_entries")
+    first = held.groupBy("gram").agg(F.min(F.struct("set_id", "n", *SIGNS)).alias("first"))
+    first = first.select(
+        "gram", F.col("first.set_id").alias("a"), F.col("first.n").alias("m"),
+        *[F.col(f"first.{s}").alias(f"t{i}") for i, s in enumerate(SIGNS)],
+    )
     stars = (
         held.join(first, "gram")
-        .where((F.col("first.set_id") < F.col("set_id")) & _can_reach(F.col("first.n"), F.col("n"), percent))
-        .select(F.col("first.set_id").alias("a"), F.col("set_id").alias("b"))
+        .where((F.col("a") < F.col("set_id")) & _can_reach(percent))
+        .select("a", F.col("set_id").alias("b"))
         .distinct()
     )
     stars = stage(stars, "stars")
@@ -196,16 +242,19 @@ def ngram_jaccard_join(
 
     # columns whose rows are still apart
     labelled = held.join(labels, F.col("set_id") == F.col("node"), "left").select(
-        "gram", "set_id", "n", F.coalesce("label", "set_id").alias("label")
+        "gram", "set_id", "n", *SIGNS, F.coalesce("label", "set_id").alias("label")
     )
     labelled = stage(labelled, "labelled")
     apart = labelled.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
     open_ = stage(labelled.join(apart.select("gram"), "gram", "left_semi"), "open_columns")
-    other = open_.select("gram", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
+    other = open_.select(
+        "gram", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"),
+        *[F.col(s).alias(f"t{i}") for i, s in enumerate(SIGNS)],
+    )
     across = (
         open_.withColumnRenamed("set_id", "a")
         .join(other, "gram")
-        .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _can_reach(F.col("n"), F.col("m"), percent))
+        .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _can_reach(percent))
         .select("a", "b")
         .distinct()
     )
