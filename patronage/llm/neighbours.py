@@ -14,7 +14,9 @@ so a hub is bounded; this is what makes the graph approximate.
 step the best ``WIDTH`` whose neighbours it has not seen are opened by joins.  It stops
 when no opened node gave a better beam, or after ``STEPS``.
 
-Scores are inner products in double precision on the vectors as given.
+Graph and walk compare codes, a byte per component and a scale; only codes are shipped to
+where nodes meet.  The nodes of the last beam are scored anew: inner products in double
+precision on the vectors as given.
 
 Defined results: a vector that is NULL, zero, or holds NULL, NaN or infinite components
 takes no part; nor does one with another length than most (the smaller of equals); rows
@@ -32,14 +34,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from patronage.llm.common import stage
 
-DEGREE = 24
-REVERSE = 24
-CELL = 256
-PROJECTIONS = 3
+DEGREE = 32
+REVERSE = 32
+CELL = 512
+PROJECTIONS = 4
 ROUNDS = 3
-BEAM = 64
-WIDTH = 8
-STEPS = 12
+BEAM = 192
+WIDTH = 32
+STEPS = 9
 SEED = 23
 
 
@@ -57,13 +59,22 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, 1))
 
 
+def _digest(vector: str) -> Column:
+    return F.sha2(F.to_json(F.struct(F.col(vector).alias("v"))), 256)
+
+
+def members_all(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v, digest), a row for each id: of several vectors the one with the least digest."""
+    marked = valid_vectors(rows, key, vector).withColumn("digest", _digest("v"))
+    return marked.groupBy("id").agg(F.min(F.struct("digest", "v")).alias("m")).select("id", "m.v", "m.digest")
+
+
 def nodes_of(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
     """Distinct vectors as nodes, and the ``keep`` smallest ids of each node.
 
     A node's number is its smallest id.
     """
-    digest = F.sha2(F.to_json(F.struct("v")), 256)
-    marked = stage(vectors.select("id", "v", digest.alias("digest")).dropDuplicates(["id", "digest"]), "vectors")
+    marked = stage(vectors.select("id", "v", _digest("v").alias("digest")).dropDuplicates(["id", "digest"]), "vectors")
     place = Window.partitionBy("digest").orderBy("id")
     few = marked.withColumn("place", F.row_number().over(place)).where(F.col("place") <= keep)
     few = stage(few.withColumn("node", F.min("id").over(Window.partitionBy("digest"))), "members")
@@ -78,6 +89,28 @@ def _augment(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", F.transform(F.concat("v", F.array(rest)), lambda x: (x / unit).cast("float")).alias("v"))
 
 
+def encode(v: np.ndarray) -> list[bytes]:
+    """A scale and a byte per component of each row."""
+    scale = np.maximum(np.abs(v).max(axis=1, keepdims=True), 1e-30).astype("<f4")
+    small = np.rint(v / scale * 127).astype(np.int8)
+    return [a.tobytes() + b.tobytes() for a, b in zip(scale, small, strict=True)]
+
+
+def decode(codes: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    scale = raw[:, :4].copy().view("<f4")
+    return raw[:, 4:].view(np.int8).astype(np.float32) * (scale / 127)
+
+
+def _codes(nodes: DataFrame) -> DataFrame:
+    def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                yield pd.DataFrame({"node": frame["node"], "code": encode(_matrix(frame["v"]))})
+
+    return nodes.mapInPandas(make, "node long, code binary")
+
+
 def _best(candidates: DataFrame) -> DataFrame:
     """(node, list) from (node, other, near): the nearest ``DEGREE`` others of each node."""
     distinct = candidates.groupBy("node", "other").agg(F.max("near").alias("near"))
@@ -85,7 +118,7 @@ def _best(candidates: DataFrame) -> DataFrame:
     return distinct.withColumn("place", F.row_number().over(order)).where(F.col("place") <= DEGREE).drop("place")
 
 
-def _all_pairs_near(frame: pd.DataFrame, ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
+def _all_pairs_near(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
     near = v @ v.T
     np.fill_diagonal(near, -np.inf)
     k = min(DEGREE, len(ids) - 1)
@@ -93,19 +126,21 @@ def _all_pairs_near(frame: pd.DataFrame, ids: np.ndarray, v: np.ndarray) -> tupl
     return np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(near, at, 1).ravel()
 
 
-def first_lists(nodes: DataFrame, n_nodes: int, dimensions: int) -> DataFrame:
+def first_lists(codes: DataFrame, n_nodes: int, dimensions: int) -> DataFrame:
     """Neighbours within cells of at most about ``CELL`` nodes, for each projection."""
     bits = max(0, int(np.ceil(np.log2(max(n_nodes, 1) / CELL))) + 1)
     planes = np.random.default_rng(SEED).normal(size=(PROJECTIONS, bits, dimensions + 1)).astype(np.float32)
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            v = _matrix(frame["v"]).astype(np.float32)
+            if not len(frame):
+                continue
+            v = decode(list(frame["code"]))
             for p in range(PROJECTIONS):
                 code = (v @ planes[p].T > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(v), np.int64)
-                yield pd.DataFrame({"node": frame["node"], "v": frame["v"], "cell": code * PROJECTIONS + p})
+                yield pd.DataFrame({"node": frame["node"], "code": frame["code"], "cell": code * PROJECTIONS + p})
 
-    split = nodes.mapInPandas(cells, "node long, v array<float>, cell long")
+    split = codes.mapInPandas(cells, "node long, code binary, cell long")
     # a crowded cell is dealt out by hash: later rounds join what this parts
     counts = split.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / (2 * CELL))
@@ -115,13 +150,13 @@ def first_lists(nodes: DataFrame, n_nodes: int, dimensions: int) -> DataFrame:
         ids = frame["node"].to_numpy()
         if len(ids) < 2:
             return pd.DataFrame({"node": ids[:0], "other": ids[:0], "near": np.zeros(0)})
-        node, other, near = _all_pairs_near(frame, ids, _matrix(frame["v"]).astype(np.float32))
+        node, other, near = _all_pairs_near(ids, decode(list(frame["code"])))
         return pd.DataFrame({"node": node, "other": other, "near": near.astype(float)})
 
     return split.groupBy("cell", "part").applyInPandas(compare, "node long, other long, near double")
 
 
-def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
+def descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
     """One round: neighbours meet at the node they share and are compared."""
     mix = F.xxhash64("node", "other", F.lit(SEED))
     back = Window.partitionBy("other").orderBy(mix)
@@ -134,27 +169,26 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     met = forward.unionByName(reverse).distinct()
     # what a pair has to beat to be of use to its first node
     worst = graph.groupBy("node").agg(F.min("near").alias("worst"), F.count(F.lit(1)).alias("n"))
-    known = nodes.join(worst, "node", "left").select(
+    known = codes.join(worst, "node", "left").select(
         F.col("node").alias("member"),
-        "v",
+        "code",
         F.when(F.col("n") >= DEGREE, F.col("worst")).otherwise(-2.0).alias("worst"),
     )
     groups = (
         met.join(known, "member")
         .groupBy("at")
-        .agg(F.collect_list(F.struct("member", "v", "worst")).alias("met"))
-        .select("met")
+        .agg(F.collect_list(F.struct("member", "code", "worst")).alias("met"))
+        .select("met.member", "met.code", "met.worst")
     )
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out: list[tuple[np.ndarray, ...]] = []
-            for met_here in frame["met"]:
-                ids = np.array([m["member"] for m in met_here], np.int64)
-                v = np.array([m["v"] for m in met_here], np.float32)
+            for ids, code, worst in zip(frame["member"], frame["code"], frame["worst"], strict=True):
+                v = decode(list(code))
                 near = v @ v.T
                 np.fill_diagonal(near, -np.inf)
-                a, b = np.nonzero(near > np.array([m["worst"] for m in met_here], np.float32)[:, None])
+                a, b = np.nonzero(near > worst.astype(np.float32)[:, None])
                 out.append((ids[a], ids[b], near[a, b].astype(float)))
             if out:
                 node, other, value = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -165,85 +199,93 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     return stage(_best(graph.unionByName(found)), "graph")
 
 
-def build_graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(node, other, near): for each node of (node, v) its nearest others, about."""
-    nodes = stage(_augment(nodes), "unit_vectors")
-    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    graph = stage(_best(first_lists(nodes, size["n"], (size["d"] or 1) - 1)), "graph")
+def build_graph(codes: DataFrame, dimensions: int, rounds: int = ROUNDS) -> DataFrame:
+    """(node, other, near): for each node of (node, code) its nearest others, about."""
+    graph = stage(_best(first_lists(codes, codes.count(), dimensions - 1)), "graph")
     for _ in range(rounds):
-        graph = descend(graph, nodes)
+        graph = descend(graph, codes)
     return graph
 
 
-def search(queries: DataFrame, graph: DataFrame, nodes: DataFrame, steps: int = STEPS) -> DataFrame:
-    """(query, node, score) of the best ``BEAM`` nodes found for (query, q, entry) rows.
+def search(queries: DataFrame, graph: DataFrame, codes: DataFrame, steps: int = STEPS) -> DataFrame:
+    """(query, node) of the best ``BEAM`` nodes found for (query, q, entry) rows.
 
     ``entry`` is an array of nodes to start at.
     """
-    lists = graph.groupBy("node").agg(F.collect_list("other").alias("others"))
-    lists = stage(
-        nodes.join(lists, "node", "left").select("node", F.coalesce("others", F.array().cast("array<bigint>")).alias("others")),
-        "lists",
-    )
+    lists = stage(graph.groupBy("node").agg(F.collect_list("other").alias("others")), "lists")
+    beam = "nodes array<long>, scores array<float>, open array<boolean>, ask array<long>, seen array<long>"
     state = queries.select(
-        "query", "q", F.array().cast("array<struct<score:double,node:bigint,open:boolean>>").alias("beam"),
+        "query", "q",
+        *[F.array().cast(f"array<{t}>").alias(n) for n, t in (("nodes", "bigint"), ("scores", "float"), ("open", "boolean"))],
         F.col("entry").alias("ask"), F.array().cast("array<bigint>").alias("seen"),
     )
-    schema = ("query long, q array<double>, beam array<struct<score:double,node:bigint,open:boolean>>, "
-              "ask array<long>, seen array<long>")
 
     def advance(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            beams, asks, seens = [], [], []
-            for q, beam, seen, met in zip(frame["q"], frame["beam"], frame["seen"], frame["met"], strict=True):
-                held = [(b["score"], b["node"], b["open"]) for b in beam]
-                if met is not None and len(met):
-                    v = np.array([m["v"] for m in met], float)
-                    held += [(float(s), int(m["node"]), True) for s, m in zip(v @ np.array(q, float), met, strict=True)]
-                held = sorted(held, key=lambda b: (-b[0], b[1]))[:BEAM]
-                ask = [b[1] for b in held if b[2]][:WIDTH]
-                chosen = set(ask)
-                beams.append([{"score": s, "node": n, "open": o and n not in chosen} for s, n, o in held])
-                asks.append(ask)
-                seens.append(np.concatenate([np.array(seen, np.int64), np.array([m["node"] for m in met] if met is not None else [], np.int64)]))
-            yield pd.DataFrame({"query": frame["query"], "q": frame["q"], "beam": beams, "ask": asks, "seen": seens})
+            rows = []
+            for r in frame.itertuples(index=False):
+                nodes, scores, open_ = r.nodes, r.scores, r.open.astype(bool)
+                new = r.met if r.met is not None else np.zeros(0, np.int64)
+                if len(new):
+                    near = decode(list(r.code)) @ np.asarray(r.q, np.float32)
+                    nodes, scores = np.append(nodes, new), np.append(scores, near)
+                    open_ = np.append(open_, np.ones(len(new), bool))
+                best = np.lexsort((nodes, -scores))[:BEAM]
+                nodes, scores, open_ = nodes[best], scores[best], open_[best]
+                chosen = np.flatnonzero(open_)[:WIDTH]
+                open_[chosen] = False
+                rows.append((r.query, r.q, nodes, scores, open_, nodes[chosen], np.append(r.seen, new)))
+            yield pd.DataFrame(rows, columns=["query", "q", "nodes", "scores", "open", "ask", "seen"])
 
     for step in range(steps + 1):
-        asked = state.select("query", "seen", F.explode("ask").alias("node"))
-        if step == 0:
-            fresh = asked.select("query", "node").distinct()
-        else:
-            opened = asked.join(lists, "node").select("query", "seen", F.explode("others").alias("node"))
-            fresh = opened.where(~F.array_contains("seen", F.col("node"))).select("query", "node").distinct()
+        asked = state.select("query", F.explode("ask").alias("node"))
+        if step:
+            opened = asked.join(lists, "node").groupBy("query").agg(
+                F.array_distinct(F.flatten(F.collect_list("others"))).alias("near")
+            )
+            asked = opened.join(state.select("query", "seen"), "query").select(
+                "query", F.explode(F.array_except("near", "seen")).alias("node")
+            )
         met = (
-            fresh.join(nodes, "node")
+            asked.select("query", "node").distinct()
+            .join(codes, "node")
             .groupBy("query")
-            .agg(F.collect_list(F.struct("node", "v")).alias("met"))
-        )
-        joined = state.join(met, "query", "left").select("query", "q", "beam", "seen", "met")
-        state = stage(joined.mapInPandas(advance, schema), "beams")
+            .agg(F.collect_list(F.struct("node", "code")).alias("m"))
+            .select("query", F.col("m.node").alias("met"), "m.code")
+        )
+        state = stage(state.join(met, "query", "left").mapInPandas(advance, f"query long, q array<float>, {beam}"), "beams")
         if state.where(F.size("ask") > 0).isEmpty():
             break
-    return state.select("query", F.explode("beam").alias("b")).select("query", "b.node", "b.score")
+    return state.select("query", F.explode("nodes").alias("node"))
 
 
 def nearest_neighbours(
     rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding"
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): for the rows ``is_query`` holds for, the nearest others.
+    """(query_id, rank, vec_id, score): for the rows that ``is_query`` holds for, the nearest others.
 
     ``is_query`` is over the column ``id``.  A query starts at its own node.
     """
     nodes, members = nodes_of(valid_vectors(rows, key, vector), k + 1)
     nodes = stage(nodes, "nodes")
-    graph = build_graph(nodes)
-    every = stage(valid_vectors(rows, key, vector).where(is_query).dropDuplicates(["id"]), "queries")
-    own = every.withColumn("digest", F.to_json(F.struct("v"))).join(
-        nodes.select("node", F.to_json(F.struct("v")).alias("digest")), "digest"
+    longer = stage(_augment(nodes), "longer")
+    codes = stage(_codes(longer), "codes")
+    dimensions = longer.agg(F.max(F.size("v"))).first()[0] or 1
+    graph = build_graph(codes, dimensions)
+    asking = members_all(rows, key, vector).where(is_query)
+    own = stage(asking.join(nodes.select("node", _digest("v").alias("digest")), "digest"), "queries")
+    last = F.array(F.lit(0.0))
+    queries = own.select(
+        F.col("id").alias("query"), F.concat("v", last).cast("array<float>").alias("q"), F.array("node").alias("entry")
+    )
+    found = search(queries, graph, codes)
+    product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    scored = (
+        found.join(nodes.withColumnRenamed("v", "w"), "node")
+        .join(own.select(F.col("id").alias("query"), "v"), "query")
+        .select("query", "node", product.alias("score"))
     )
-    queries = own.select(F.col("id").alias("query"), F.col("v").alias("q"), F.array("node").alias("entry"))
-    found = search(queries, graph, nodes)
-    named = found.join(members, "node").where(F.col("id") != F.col("query"))
+    named = scored.join(members, "node").where(F.col("id") != F.col("query"))
     named = named.groupBy("query", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return (
