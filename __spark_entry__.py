@@ -279,7 +279,8 @@ SINGLE_PASS = {
 
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        mode = "lazy" if name in SINGLE_PASS else "table"
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        mode = "lazy" if name in SINGLE_PASS else "table" if shared else "persist"
         plan = MailingPlan(retail_warehouse(spark, sf_dir), ExtractPolicy(), mode)
         return _as_double(QUERIES[name](plan))
 

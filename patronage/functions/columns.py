@@ -92,8 +92,10 @@ def fuzzy_date(text: Column | str, class_year: Column | str) -> Column:
 def recode(c: Column | str, mapping: Mapping[str, str]) -> Column:
     """Translate codes, leaving unknown ones as they are."""
     c = _col(c)
-    pairs = [F.lit(x) for item in mapping.items() for x in item]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)
+    found = None
+    for code, label in mapping.items():
+        found = F.when(c == code, label) if found is None else found.when(c == code, label)
+    return c if found is None else found.otherwise(c)
 
 
 def money_text(c: Column | str) -> Column:

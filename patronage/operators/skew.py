@@ -2,16 +2,17 @@
 
 ``lookup``           plain join.  Spark broadcasts a small side after measuring it
                      and splits skewed partitions at run time (AQE).
-``balanced_lookup``  for a base fact joined on a key that may be hot.  A side under
-                     the broadcast limit is broadcast.  A larger one is shuffled with
-                     the hot keys salted: their fact rows spread over several tasks,
-                     and only those keys' rows of the other side are repeated.
+``balanced_lookup``  for a base fact joined on a key that may be hot.  A side whose
+                     files are under the broadcast limit is left to Spark, which
+                     measures it.  A larger one is shuffled with the hot keys salted:
+                     their fact rows spread over several tasks, and only those keys'
+                     rows of the other side are repeated.
 ``sparse_lookup``    for a key that is NULL on many rows.  Those rows match nothing
                      and are spread instead of meeting in one task.
 
-The hot keys come from one ``approx_top_k`` aggregate over the key columns (a
-mergeable sketch of fixed size).  It decides only how rows are spread, never
-which rows join, so its error cannot change a result.
+A key is hot when its rows exceed one partition's share, and it gets as many salts as
+it fills partitions.  Both sides look the key up in one list with the join's own
+equality, so types and collations that the join takes as equal get the same salts.
 """
 
 from __future__ import annotations
@@ -22,9 +23,7 @@ from functools import reduce
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_KEY_LIMIT = 64
-HOT_KEY_SKETCH = 4096
-HOT_KEY_SHARE = 0.01
+PARTITION_ROWS = 1_000_000  # rows of one key that a task takes
 SALTS = 32
 BROADCAST_DEFAULT = 10 * 1024 * 1024
 
@@ -60,34 +59,29 @@ def is_small(df: DataFrame) -> bool:
     return size is not None and size <= broadcast_limit(df)
 
 
-def heavy_hitters(df: DataFrame, keys: Sequence[str], share: float = HOT_KEY_SHARE) -> DataFrame:
-    """Hashes of the keys that hold more than ``share`` of the rows.
+def heavy_hitters(
+    df: DataFrame, keys: Sequence[str], partition_rows: int = PARTITION_ROWS
+) -> DataFrame:
+    """The keys with more than ``partition_rows`` rows, and the salts each needs.
 
-    Holds at most ``HOT_KEY_LIMIT`` rows whatever the input, which is what makes
-    broadcasting it safe.
+    Counts are combined before the shuffle.  The list is never longer than the rows
+    divided by ``partition_rows``, so than the tasks that the join needs anyway.
     """
-    hashed = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys)).select(
-        F.xxhash64(*keys).alias("_h")
-    )
-    return (
-        hashed.agg(
-            F.expr(f"approx_top_k(_h, {HOT_KEY_LIMIT}, {HOT_KEY_SKETCH})").alias("top"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .select(F.explode("top").alias("t"), "n")
-        .where(F.col("t.count") > F.col("n") * F.lit(share))
-        .select(F.col("t.item").alias("_hot"))
+    keyed = df.where(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.where(F.col("_n") > partition_rows).select(
+        *keys, F.ceil(F.col("_n") / partition_rows).cast("int").alias("_salts")
     )
 
 
-def _spread(fact: DataFrame, salts: int, by: Sequence[str] | None = None) -> Column:
+def _spread(fact: DataFrame, salts: int | Column, by: Sequence[str] | None = None) -> Column:
     """Salt from the row itself, so a recomputed task gives its rows the same salts.
 
     ``by`` names columns that tell the rows of one key apart.  Give a row id where
     there is one: hashing every column would keep them all from being pruned.
     """
     columns = fact.columns if by is None else by
-    return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), F.lit(salts)).cast("int")
+    return F.pmod(F.xxhash64(*columns), salts if isinstance(salts, Column) else F.lit(salts)).cast("int")
 
 
 def salted_join(
@@ -97,28 +91,27 @@ def salted_join(
     how: str,
     measure: DataFrame | None = None,
     by: Sequence[str] | None = None,
-    salts: int = SALTS,
+    partition_rows: int = PARTITION_ROWS,
 ) -> DataFrame:
-    """Equi-join with the hot keys of ``fact`` spread over ``salts`` tasks each."""
+    """Equi-join with the hot keys of ``fact`` spread over as many tasks as they fill.
+
+    Fact rows without a key match nothing and are spread as well.
+    """
     keys = list(keys)
-    hot = F.broadcast(heavy_hitters(fact if measure is None else measure, keys))
-    is_hot, nothing = F.col("_hot").isNotNull(), F.lit(0)
+    hot = heavy_hitters(fact if measure is None else measure, keys, partition_rows)
+    named = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_salts")
+    unkeyed = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
 
     def marked(df: DataFrame) -> DataFrame:
-        return df.withColumn("_h", F.xxhash64(*keys)).join(hot, F.col("_h") == F.col("_hot"), "left")
+        match = reduce(Column.__and__, [df[k] == named[f"_hot_{k}"] for k in keys])
+        return df.join(named, match, "left").drop(*[f"_hot_{k}" for k in keys])
 
-    left = (
-        marked(fact)
-        .withColumn("_salt", F.when(is_hot, _spread(fact, salts, by)).otherwise(nothing))
-        .drop("_h", "_hot")
-    )
-    every_salt = F.sequence(nothing, F.lit(salts - 1))
-    right = (
-        marked(side)
-        .withColumn("_salt", F.explode(F.when(is_hot, every_salt).otherwise(F.array(nothing))))
-        .drop("_h", "_hot")
+    salts = F.coalesce("_salts", F.lit(1))
+    left = marked(fact).withColumn(
+        "_salt", F.when(unkeyed, _spread(fact, SALTS, by)).otherwise(_spread(fact, salts, by))
     )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    right = marked(side).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.drop("_salts").join(right.drop("_salts"), [*keys, "_salt"], how).drop("_salt")
 
 
 def _names(keys: str | Sequence[str]) -> list[str]:
@@ -140,14 +133,14 @@ def balanced_lookup(
 ) -> DataFrame:
     """Join a fact on a key that may be hot to a side read straight from a table.
 
-    A side whose source files stay under the broadcast limit is broadcast, which
-    no hot key disturbs; beyond the limit the join is salted.
+    A side whose source files stay under the broadcast limit is left to Spark: it
+    broadcasts by its own measure, not by a hint.  Beyond the limit the join is salted.
 
     ``measure`` is the table to take the hot keys from when ``fact`` is already a
     chain of joins; the chain is then not computed a second time for it.
     """
     if is_small(side):
-        return lookup(fact, F.broadcast(side), keys, how)
+        return lookup(fact, side, keys, how)
     return salted_join(fact, side, _names(keys), how, measure, by)
 
 

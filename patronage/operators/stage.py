@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
-@lru_cache(maxsize=1)
-def _scratch_folder() -> str:
-    return tempfile.mkdtemp(prefix="patronage-")
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """The cluster's shared checkpoint folder; a scratch one in local mode only."""
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder."""
     configured = spark.conf.get(CHECKPOINT_CONF, None)
-    if configured:
-        return configured
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return _scratch_folder()
-    return None
+    if not configured:
+        raise ValueError(f"stages kept as tables need {CHECKPOINT_CONF}, a folder that all executors share")
+    return configured
 
 
 def materialize(df: DataFrame, name: str, mode: str = "lazy") -> DataFrame:
@@ -34,16 +25,16 @@ def materialize(df: DataFrame, name: str, mode: str = "lazy") -> DataFrame:
     ``table``    write it as Parquet to the shared checkpoint folder and read it
                  back: the lineage is cut, a lost executor costs a read, readers
                  prune columns, and the size Spark plans with is the true one.
-                 Falls back to ``persist`` on a cluster that names no folder.
+                 Without a shared folder it raises.
     """
     if mode == "lazy":
         return df
     if mode not in ("persist", "table"):
         raise ValueError(f"unknown mode {mode!r}")
-    spark = df.sparkSession
-    folder = shared_folder(spark) if mode == "table" else None
-    if folder is None:
+    if mode == "persist":
         return df.persist()
+    spark = df.sparkSession
+    folder = shared_folder(spark)
     path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

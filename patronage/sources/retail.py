@@ -209,7 +209,7 @@ VIEWS: dict[str, str] = {
         FROM {{orders}}
         WHERE o_orderstatus = 'P'""",
     "production": f"""
-        SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS ocpr_dim_id,
+        SELECT l_orderkey * 10000000000 + l_partkey * 10 + l_linenumber AS ocpr_dim_id,
           o_custkey AS constituent_dim_id, l_orderkey AS gift_fact_id,
           CASE WHEN l_returnflag = 'A' AND l_suppkey % 2 = 0 THEN 'MG Pledge'
             WHEN l_returnflag = 'R' THEN 'Other' ELSE 'Cash' END AS gift_type,

@@ -18,28 +18,55 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+HOW = ["inner", "left", "left_semi", "left_anti"]
+
+
+@pytest.mark.parametrize("how", HOW)
 def test_salted_join_equals_plain_join(hot, how):
     fact, side = hot
-    assert rows(skew.salted_join(fact, side, ["k"], how)) == rows(fact.join(side, ["k"], how))
+    salted = skew.salted_join(fact, side, ["k"], how, partition_rows=50)
+    assert rows(salted) == rows(fact.join(side, ["k"], how))
+
+
+@pytest.mark.parametrize("how", HOW)
+@pytest.mark.parametrize(("ours", "theirs"), [("int", "bigint"), ("decimal(12,0)", "bigint"), ("bigint", "int")])
+def test_salted_join_of_mixed_types_equals_plain_join(hot, how, ours, theirs):
+    fact, side = hot
+    fact = fact.withColumn("k", F.col("k").cast(ours))
+    side = side.withColumn("k", F.col("k").cast(theirs))
+    salted = skew.salted_join(fact, side, ["k"], how, partition_rows=50)
+    assert rows(salted) == rows(fact.join(side, ["k"], how))
+
+
+@pytest.mark.parametrize("how", HOW)
+@pytest.mark.parametrize("collation", ["UTF8_LCASE", "UTF8_LCASE_RTRIM"])
+def test_salted_join_of_collated_keys_equals_plain_join(spark, how, collation):
+    name = f"string collate {collation}"
+    hot = F.when(F.col("id") % 2 == 0, "Key").when(F.col("id") % 5 == 0, "KEY ").otherwise("b")
+    fact = spark.range(1000).select(F.col("id").alias("row"), hot.cast(name).alias("k"))
+    side = spark.createDataFrame([("key", 1), ("B ", 2)], "k string, v int")
+    side = side.withColumn("k", F.col("k").cast(name))
+    salted = skew.salted_join(fact, side, ["k"], how, by=["row"], partition_rows=50)
+    assert rows(salted) == rows(fact.join(side, ["k"], how))
 
 
 def test_salted_join_measures_another_table(hot):
     fact, side = hot
-    salted = skew.salted_join(fact, side, ["k"], "left", measure=fact.select("k"))
+    salted = skew.salted_join(fact, side, ["k"], "left", fact.select("k"), partition_rows=50)
     assert rows(salted) == rows(fact.join(side, ["k"], "left"))
 
 
-def test_heavy_hitters_finds_only_hot_keys(spark, hot):
+def test_hot_keys_get_salts_by_their_size(hot):
     fact, _ = hot
-    found = skew.heavy_hitters(fact, ["k"]).collect()
-    expected = spark.range(7, 8).select(F.xxhash64("id")).first()[0]
-    assert [r["_hot"] for r in found] == [expected]
+    assert [tuple(r) for r in skew.heavy_hitters(fact, ["k"], 300).collect()] == [(7, 4)]
 
 
-def test_hot_key_list_is_bounded(spark):
-    even = spark.range(100000).select((F.col("id") % 1000).alias("k"))
-    assert skew.heavy_hitters(even, ["k"], share=0.0).count() <= skew.HOT_KEY_LIMIT
+def test_filter_above_a_salted_join_reaches_the_scan(spark, hot, tmp_path):
+    fact, side = hot
+    fact.withColumn("year", F.lit(3)).write.parquet(str(tmp_path / "fact"))
+    fact = spark.read.parquet(str(tmp_path / "fact"))
+    joined = skew.salted_join(fact, side, ["k"], "left", by=["row"]).where("year = 3")
+    assert "EqualTo(year,3)" in joined._jdf.queryExecution().executedPlan().toString()
 
 
 def test_hot_rows_spread_over_salts(hot):
@@ -69,7 +96,7 @@ def test_balanced_lookup_salts_a_large_side_only(spark, hot, tmp_path):
         joined = skew.balanced_lookup(fact, side, "k")
         assert rows(joined) == rows(fact.join(side, ["k"], "left"))
         plan = joined._jdf.queryExecution().analyzed().toString()
-        assert "strategy=broadcast" in plan  # the small side, or the list of hot keys
+        assert "strategy=broadcast" not in plan
         return "_salt" in plan
 
     assert not salted()
