@@ -129,7 +129,7 @@ def train(rows: DataFrame, key: str, per_language: int = PER_LANGUAGE, longest:
         .toPandas()
         .sort_values(["lang", "place"])
     )
-    sample = sample[[has_letter(t) for t in sample["text"]]]
+    sample = sample[np.array([has_letter(t) for t in sample["text"]], bool)]
     languages = sorted(sample["lang"].unique())
     labels = np.array([languages.index(x) for x in sample["lang"]], int)
     features = [tf_idf(t, idf) for t in sample["text"]]

@@ -9,8 +9,8 @@ fitted by follow-the-regularised-leader with an elastic net.
 Training takes at most ``PER_VALUE`` rows for each value of the last category, those of
 ``LONGEST`` characters at most with the least hash of their id.  The vocabulary holds the
 words, and beginnings of ``STEM`` letters, of at least ``LEAST_DOCS`` of these rows; words
-are lower-cased and stripped of punctuation.  The threshold is the lowest that leaves at most ``FALSE_SHARE`` of the
-clean training rows above it, out of fold.  Every text is scored whole.
+are lower-cased and stripped of punctuation.  The threshold weighs, out of fold, a clean
+row flagged as ``FALSE_WEIGHT`` times a toxic row missed.  Every text is scored whole.
 
 Defined results: NULL and empty texts have no words, and are scored by the constants;
 a label of NULL leaves its row out of training; a label repeated for a document counts
@@ -35,9 +35,9 @@ PER_VALUE = 2500
 LONGEST = 30_000
 LEAST_DOCS = 5
 FOLDS = 3
-PASSES = 2
+UPDATES = 20_000  # of a model, in 3 to 20 passes
 STEM = 4
-FALSE_SHARE = 0.002
+FALSE_WEIGHT = 20
 STRIP = string.punctuation + "«»“”„’‘…–—¿¡"
 
 
@@ -74,7 +74,18 @@ def _row(at: np.ndarray, earlier: Sequence[float], words: int) -> Row:
 
 
 def _fit(rows: list[Row], labels: np.ndarray, size: int) -> np.ndarray:
-    return Ftrl(size, 2, alpha=0.3, l1=0.5, l2=0.1).fit(rows, labels, PASSES).weights()
+    passes = min(20, max(3, UPDATES // max(len(rows), 1)))
+    return Ftrl(size, 2, alpha=0.3, l1=0.5, l2=0.1).fit(rows, labels, passes).weights()
+
+
+def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
+    """Where the share caught less ``FALSE_WEIGHT`` times the share falsely caught is largest."""
+    order = np.argsort(-scores, kind="stable")
+    caught = np.cumsum(labels[order]) / labels.sum()
+    false = np.cumsum(1 - labels[order]) / (1 - labels).sum()
+    at = int(np.argmax(caught - FALSE_WEIGHT * false))
+    below = scores[order[at + 1]] if at + 1 < len(order) else 0.0
+    return float((scores[order[at]] + below) / 2)
 
 
 def train_chain(sample: Sequence[tuple[str, Sequence[int]]], categories: Sequence[str]) -> ToxicityModel:
@@ -101,10 +112,7 @@ def train_chain(sample: Sequence[tuple[str, Sequence[int]]], categories: Sequenc
         model.weights.append(_fit(rows, labels[:, c], size))
         for e, p in zip(earlier, unseen, strict=True):
             e.append(float(p))
-    last = np.array([e[-1] for e in earlier])
-    clean = np.sort(last[labels[:, -1] == 0])
-    allowed = int(FALSE_SHARE * len(clean))
-    model.threshold = max(0.5, float(clean[len(clean) - 1 - allowed]) + 1e-9)
+    model.threshold = best_threshold(np.array([e[-1] for e in earlier]), labels[:, -1])
     return model
 
 
