@@ -75,7 +75,7 @@ def _row(at: np.ndarray, earlier: Sequence[float], words: int) -> Row:
 
 def _fit(rows: list[Row], labels: np.ndarray, size: int) -> np.ndarray:
     passes = min(20, max(3, UPDATES // max(len(rows), 1)))
-    return Ftrl(size, 2, alpha=0.3, l1=0.5, l2=0.1).fit(rows, labels, passes).weights()
+    return Ftrl(size, 2, alpha=0.3, l1=5.0, l2=0.1).fit(rows, labels, passes).weights()
 
 
 def best_threshold(scores: np.ndarray, labels: np.ndarray) -> float:
