@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -17,14 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def _scratch_folder() -> str:
+    return tempfile.mkdtemp(prefix="stages-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.  Only a local session may lack the setting."""
     folder = spark.conf.get(CHECKPOINT_CONF, None)
     if not folder:
         if not spark.conf.get("spark.master", "").startswith("local["):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="stages-")
-        spark.conf.set(CHECKPOINT_CONF, folder)
+        folder = _scratch_folder()
     return folder.rstrip("/")
 
 
