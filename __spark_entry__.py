@@ -75,9 +75,9 @@ def _projected(year: int) -> Callable[[MailingPlan], DataFrame]:
 
 
 def _calendar_misses(p: MailingPlan) -> DataFrame:
-    closed = p.wh.calendar.where(F.col("fiscal_year") < 2014)
-    return quality.calendar_misses(p.wh.annual_projection, "gift_date", closed).select(
-        "cap_dim_id", "gift_date"
+    dated = giving.planned_gift_dates(p.ledger, p.wh.gift, p.wh.gift_attribute)
+    return quality.calendar_misses(dated, "planned_gift_date", p.wh.calendar).select(
+        "gift_fact_id", "planned_gift_date"
     )
 
 
@@ -106,6 +106,7 @@ def _quality(p: MailingPlan) -> DataFrame:
                 _education_rows(p), "primary education", [PERSON], ["school_type", "date_graduated"]
             ),
             quality.violations(p.wh.fund_translation, "fund translation", ["fund_identifier"]),
+            p.violations,
         ]
     )
 

@@ -249,20 +249,21 @@ STAGES: dict[str, str] = {
     "s_planned_span": f"""
         SELECT {P}, min(gift_date) AS first_gift_date, max(gift_date) AS last_gift_date
         FROM s_ledger WHERE re_gift_type = 'Planned Gift' GROUP BY {P}""",
-    "s_realized": f"""
+    "s_planned_dates": f"""
+        SELECT cg.gift_fact_id, min(CASE
+            WHEN o.gift_fact_id IS NOT NULL THEN g.gift_date
+            WHEN cg.gift_date >= p.last_gift_date THEN p.last_gift_date
+            ELSE coalesce(p.first_gift_date, TIMESTAMP '1900-01-01') END) AS planned_gift_date
+        FROM s_ledger cg
+        JOIN w_gift g ON cg.gift_fact_id = g.gift_fact_id AND cg.{P} = g.{P}
+        LEFT JOIN s_planned_span p ON cg.{P} = p.{P}
+        LEFT JOIN w_gift o ON g.planned_gift_id = o.gift_system_id
+        WHERE cg.gift_fact_id IN (SELECT gift_fact_id FROM w_gift_attribute
+          WHERE attribute_category = 'Planned Gift Realized')
+        GROUP BY cg.gift_fact_id""",
+    "s_realized": """
         SELECT q.gift_fact_id, q.planned_gift_date, d.fiscal_year AS planned_gift_fiscal_year
-        FROM (
-          SELECT cg.gift_fact_id, min(CASE
-              WHEN o.gift_fact_id IS NOT NULL THEN g.gift_date
-              WHEN cg.gift_date >= p.last_gift_date THEN p.last_gift_date
-              ELSE coalesce(p.first_gift_date, TIMESTAMP '1900-01-01') END) AS planned_gift_date
-          FROM s_ledger cg
-          JOIN w_gift g ON cg.gift_fact_id = g.gift_fact_id AND cg.{P} = g.{P}
-          LEFT JOIN s_planned_span p ON cg.{P} = p.{P}
-          LEFT JOIN w_gift o ON g.planned_gift_id = o.gift_system_id
-          WHERE cg.gift_fact_id IN (SELECT gift_fact_id FROM w_gift_attribute
-            WHERE attribute_category = 'Planned Gift Realized')
-          GROUP BY cg.gift_fact_id) q
+        FROM s_planned_dates q
         JOIN w_calendar d ON CAST(q.planned_gift_date AS DATE) = d.actual_date""",
     "s_project17": _projected(2017, "2016-07-01"),
     "s_project16": _projected(2016, "2015-07-01"),
@@ -477,8 +478,12 @@ STAGES: dict[str, str] = {
             AND r.is_primary = 'Yes' AND e.full_name <> 'Employer Unknown') q
         WHERE seq = 1""",
     "s_loyalty": f"""
-        SELECT {P}, min(attribute_description) AS loyalty_years FROM w_constituent_attribute
-        WHERE attribute_category = 'Loyalty Giving' AND comments = 'OSU Foundation' GROUP BY {P}""",
+        SELECT {P}, attribute_description AS loyalty_years FROM (
+          SELECT *, row_number() OVER (PARTITION BY {P} ORDER BY
+              TRY_CAST(attribute_description AS BIGINT) NULLS LAST, attribute_description) AS seq
+          FROM w_constituent_attribute
+          WHERE attribute_category = 'Loyalty Giving' AND comments = 'OSU Foundation') q
+        WHERE seq = 1""",
     "s_recency": _fund_rank("max(gift_date)", "gift_date"),
     "s_money": _fund_rank("sum(amount)", "amount"),
     "s_frequency": _fund_rank("count(*)", "gift_count"),
@@ -583,10 +588,28 @@ def _violations() -> str:
         ("primary education", "not null", "school_type", "s_education_rows"),
         ("primary education", "not null", "date_graduated", "s_education_rows"),
         ("fund translation", "unique", "fund_identifier", "w_fund_translation"),
+        ("giving", "unique", f"{P}, fiscal_year", "s_giving"),
+        ("household list", "unique", P, "s_household"),
+        ("segments", "unique", P, "s_segment"),
+        ("asks", "unique", P, "s_ask"),
+        ("phones", "unique", P, "s_phones"),
+        ("education", "unique", P, "s_education"),
+        ("final ranking", "unique", f"{P}, seq", "s_final_ranking"),
+        ("control ranking", "unique", f"{P}, seq", "s_control_ranking"),
+        ("constituent", "unique", "constituent_system_id", "w_constituent"),
+        ("gift", "unique", "gift_fact_id", "w_gift"),
+        ("gift credit", "unique", "gift_fact_id", "w_gift_credit"),
+        ("fund", "unique", "fund_identifier", "w_fund"),
+        ("calendar", "unique", "actual_date", "w_calendar"),
+        ("manager", "unique", P, "w_manager"),
     ]
     return " UNION ALL ".join(
         f"SELECT '{stage}' AS stage, '{rule}' AS rule, '{c}' AS columns, "
-        + (f"count(*) - count(DISTINCT {c})" if rule == "unique" else f"count(*) - count({c})")
+        + (
+            f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT {c} FROM {source}) d)"
+            if rule == "unique"
+            else f"count(*) - count({c})"
+        )
         + f" AS violations FROM {source}"
         for stage, rule, c, source in checks
     )
@@ -623,9 +646,8 @@ FINAL: dict[str, str] = {
     "projected_gifts": f"SELECT {LEDGER_OUT} FROM s_project17",
     "projected_gifts_prior": f"SELECT {LEDGER_OUT} FROM s_project16",
     "calendar_misses": """
-        SELECT cap_dim_id, gift_date FROM w_annual_projection
-        WHERE CAST(gift_date AS DATE) NOT IN
-          (SELECT actual_date FROM w_calendar WHERE fiscal_year < 2014)""",
+        SELECT gift_fact_id, planned_gift_date FROM s_planned_dates
+        WHERE CAST(planned_gift_date AS DATE) NOT IN (SELECT actual_date FROM w_calendar)""",
     "production_gifts": """
         SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount) FROM s_production_gifts""",
     "translate_fund": """

@@ -215,10 +215,11 @@ def primary_employer(relationship: DataFrame, constituent: DataFrame) -> DataFra
 
 
 def loyalty_years(constituent_attribute: DataFrame) -> DataFrame:
-    """Number of loyal giving years as recorded, one per person."""
-    return attribute_lookup(
-        constituent_attribute,
-        fv.LOYALTY_CATEGORY,
-        where=F.col("comments") == fv.LOYALTY_COMMENT,
-        name="loyalty_years",
+    """Number of loyal giving years as recorded, one per person: the smallest number."""
+    recorded = constituent_attribute.where(
+        (F.col("attribute_category") == fv.LOYALTY_CATEGORY) & (F.col("comments") == fv.LOYALTY_COMMENT)
     )
+    value = F.col("attribute_description")
+    return pick_one(
+        recorded, [PERSON], [value.try_cast("bigint").asc_nulls_last(), value.asc_nulls_last()]
+    ).select(PERSON, value.alias("loyalty_years"))

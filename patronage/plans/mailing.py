@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..fixed_values import EXTRACT_HEADINGS
 from ..functions import money_text, or_empty
-from ..operators import contacts, funds, giving, lists, segments
-from ..operators.generic import PERSON, pivot_top_n
+from ..operators import contacts, funds, giving, lists, quality, segments
+from ..operators.generic import PERSON, pivot_top_n, union_all
 from ..operators.skew import lookup, sparse_lookup
 from ..operators.stage import materialize
 from ..policy import ExtractPolicy
@@ -239,6 +239,30 @@ class MailingPlan:
             self.household_list, self.segments, self.averages, self.policy.segments
         )
 
+    # --- gates ------------------------------------------------------------
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        """Repeated keys of the keyed stages, and of dimensions that lookups rely on."""
+        w = self.wh
+        keyed = [
+            (self.giving, "giving", [PERSON, "fiscal_year"]),
+            (self.household_list, "household list", [PERSON]),
+            (self.segments, "segments", [PERSON]),
+            (self.asks, "asks", [PERSON]),
+            (self.phones, "phones", [PERSON]),
+            (self.education, "education", [PERSON]),
+            (self.final_ranking, "final ranking", [PERSON, "seq"]),
+            (self.control_ranking, "control ranking", [PERSON, "seq"]),
+            (w.constituent, "constituent", ["constituent_system_id"]),
+            (w.gift, "gift", ["gift_fact_id"]),
+            (w.gift_credit, "gift credit", ["gift_fact_id"]),
+            (w.fund, "fund", ["fund_identifier"]),
+            (w.calendar, "calendar", ["actual_date"]),
+            (w.manager, "manager", [PERSON]),
+        ]
+        return union_all([quality.violations(df, name, keys) for df, name, keys in keyed])
+
     # --- extract ----------------------------------------------------------
 
     def _people(self) -> DataFrame:

@@ -222,6 +222,14 @@ def test_attribute_lookup(table):
     assert [tuple(r) for r in contacts.loyalty_years(rows).collect()] == [(1, "7")]
 
 
+def test_loyalty_years_by_number(table):
+    def row(person, value):
+        return {PERSON: person, "attribute_category": "Loyalty Giving", "attribute_description": value, "comments": "OSU Foundation"}
+
+    rows = table("constituent_attribute", [row(1, "10"), row(1, "9"), row(2, "many"), row(2, "12"), row(3, "many"), row(3, None)])
+    assert sorted(map(tuple, contacts.loyalty_years(rows).collect())) == [(1, "9"), (2, "12"), (3, "many")]
+
+
 def test_violations(spark):
     rows = spark.createDataFrame([(1, None), (1, "a"), (1, "b"), (2, None)], "k int, v string")
     got = {tuple(r) for r in quality.violations(rows, "stage", ["k"], ["k", "v"]).collect()}
