@@ -15,12 +15,18 @@ documents that share a passage make no pair.
 ``size - s + 1`` in the common order, rarest first, so only that many of a row's columns
 take part.  A column of one row links nothing and is dropped at once, which ends most rows.
 
-The product is accumulated by blocks of columns in two passes.  First each column meets
+The product is accumulated by blocks of columns in passes.  First each column meets
 its least row only, which costs no more than the incidence has entries; sizes bound the
 overlap and what cannot reach it is dropped; the rest is verified on whole sets and
-components are formed.  Then columns whose rows are still in several components give
-the pairs across components; those are verified as well.  Pairs inside a component are
-never listed, so large groups of copies cost in proportion to their rows.
+components are formed.  While the columns whose rows are still in several components hold
+many more pairs across components than entries, such a column meets one other row, chosen
+by a hash that changes with the turn; this goes on as long as turns bring the pairs down.
+Then columns of up to ``WIDE`` rows give all pairs that are left across components; those
+are verified as well.  Wider columns are multiplied in blocks of rows: two blocks that share
+a column meet in one task, where signatures tell which rows may link, and meet again with
+these rows' whole sets, where overlaps are accumulated and only links come out.  Pairs
+inside a component are never listed, so large groups of copies cost in proportion to their
+rows.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  Defined results: a text of
 under five words is one shingle; NULL, empty and blank texts have the empty set and link
@@ -33,6 +39,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, Window
@@ -49,6 +56,11 @@ CACHED_WORDS = 1_000_000
 SIGNATURE = 256  # bits
 MOST_DIFFERENT = 60
 SIGNS = [f"s{i}" for i in range(SIGNATURE // 64)]
+WIDE = 64  # rows of a column
+BLOCK_ROWS, BLOCK_ENTRIES = 256, 1 << 18  # of a block of rows, about
+HUBS = 8  # rows that a group of near copies meets in one turn
+PAIRS_AN_ENTRY = 2  # with fewer pairs left across components, all of them are made
+LEFT_BY_A_TURN = 0.75  # of the pairs; with more left, turns have ended being of use
 
 
 class Shingles:
@@ -225,28 +237,28 @@ def ngram_jaccard_join(
 
     signs = sets.select("set_id", *SIGNS)
     held = stage(held.join(signs, "set_id"), "signed_entries")
-    first = held.groupBy("gram").agg(F.min(F.struct("set_id", "n", *SIGNS)).alias("first"))
-    first = first.select(
-        "gram", F.col("first.set_id").alias("a"), F.col("first.n").alias("m"),
-        *[F.col(f"first.{s}").alias(f"t{i}") for i, s in enumerate(SIGNS)],
-    )
-    stars = (
-        held.join(first, "gram")
-        .where((F.col("a") < F.col("set_id")) & _can_reach(percent))
-        .select("a", F.col("set_id").alias("b"))
-        .distinct()
-    )
-    stars = stage(stars, "stars")
-    links = stage(_checked(stars, docs, key_sets, key, percent), "links")
+    tried = stage(_meet(held.withColumn("label", F.col("set_id")), F.col("set_id"), percent), "stars")
+    links = stage(_checked(tried, docs, key_sets, key, percent), "links")
     labels = components(links)
 
-    # columns whose rows are still apart
-    labelled = held.join(labels, F.col("set_id") == F.col("node"), "left").select(
-        "gram", "set_id", "n", *SIGNS, F.coalesce("label", "set_id").alias("label")
-    )
-    labelled = stage(labelled, "labelled")
-    apart = labelled.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    open_ = stage(labelled.join(apart.select("gram"), "gram", "left_semi"), "open_columns")
+    turn, before = 0, None
+    while True:
+        open_ = _open_columns(held, labels)
+        entries_left, pairs_left = _across(open_)
+        useless = before is not None and pairs_left > LEFT_BY_A_TURN * before
+        if useless or pairs_left <= PAIRS_AN_ENTRY * entries_left:
+            break
+        turn, before = turn + 1, pairs_left
+        hub = F.xxhash64("set_id", F.pmod(F.xxhash64("gram"), F.lit(HUBS)), F.lit(turn))
+        met = stage(_meet(open_, hub, percent).join(tried, ["a", "b"], "left_anti"), "met")
+        links = stage(links.unionByName(_checked(met, docs, key_sets, key, percent)), "links")
+        tried = tried.unionByName(met)
+        labels = components(links)
+
+    rows_held = open_.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+    wide = open_.join(rows_held.where(F.col("rows") > WIDE), "gram")
+    dense = _block_links(stage(wide, "wide_columns"), docs, key_sets, key, percent)
+    open_ = open_.join(rows_held.where(F.col("rows") <= WIDE).select("gram"), "gram", "left_semi")
     other = open_.select(
         "gram", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"),
         *[F.col(s).alias(f"t{i}") for i, s in enumerate(SIGNS)],
@@ -258,8 +270,9 @@ def ngram_jaccard_join(
         .select("a", "b")
         .distinct()
     )
-    across = stage(across.join(stars, ["a", "b"], "left_anti"), "across")
-    links = stage(links.unionByName(_checked(across, docs, key_sets, key, percent)), "all_links")
+    across = stage(across.join(tried, ["a", "b"], "left_anti"), "across")
+    links = links.unionByName(dense).unionByName(_checked(across, docs, key_sets, key, percent))
+    links = stage(links.distinct(), "all_links")
     labels = components(links)
 
     ends = links.select(F.col("a").alias("set_id")).unionByName(links.select(F.col("b").alias("set_id")))
@@ -284,6 +297,119 @@ def ngram_jaccard_join(
     )
 
 
+def _meet(held: DataFrame, order: Column, percent: int) -> DataFrame:
+    """(a, b), a < b: each column's first row by ``order`` with its rows of other labels."""
+    first = held.withColumn("order", order).groupBy("gram").agg(
+        F.min(F.struct("order", "set_id", "label", "n", *SIGNS)).alias("first")
+    )
+    first = first.select(
+        "gram", F.col("first.set_id").alias("hub"), F.col("first.label").alias("other"), F.col("first.n").alias("m"),
+        *[F.col(f"first.{s}").alias(f"t{i}") for i, s in enumerate(SIGNS)],
+    )
+    met = held.join(first, "gram").where((F.col("label") != F.col("other")) & _can_reach(percent))
+    return met.select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct()
+
+
+def _open_columns(held: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries, with their labels, of columns whose rows are in several components."""
+    labelled = held.join(labels, F.col("set_id") == F.col("node"), "left").select(
+        "gram", "set_id", "n", *SIGNS, F.coalesce("label", "set_id").alias("label")
+    )
+    labelled = stage(labelled, "labelled")
+    apart = labelled.groupBy("gram").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    return stage(labelled.join(apart.select("gram"), "gram", "left_semi"), "open_columns")
+
+
+def _across(open_: DataFrame) -> tuple[int, float]:
+    """How many entries these columns have, and how many pairs across components."""
+    rows = F.col("rows").cast("double")
+    total = (
+        open_.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("gram").agg(F.sum("rows").alias("all"), ((F.sum(rows) * F.sum(rows) - F.sum(rows * rows)) / 2).alias("pairs"))
+        .agg(F.sum("all").alias("all"), F.sum("pairs").alias("pairs"))
+        .first()
+    )
+    return total["all"] or 0, total["pairs"] or 0.0
+
+
+def _block_links(wide: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str, percent: int) -> DataFrame:
+    """Links (a, b) across components of rows that share one of the wide columns."""
+    # a row's block is a part of the rows that have the same widest column
+    rows = wide.groupBy("set_id").agg(
+        *[F.first(c).alias(c) for c in ("n", "label", *SIGNS)],
+        F.max(F.struct("rows", "gram")).getField("gram").alias("anchor"),
+    )
+    sized = rows.groupBy("anchor").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_ENTRIES)).alias("parts")
+    )
+    block = F.xxhash64("anchor", F.pmod(F.xxhash64("set_id"), F.col("parts")))
+    rows = stage(rows.join(sized, "anchor").withColumn("block", block).drop("anchor", "parts"), "rows")
+    columns = wide.select("gram", "set_id").join(rows.select("set_id", "block"), "set_id").select("gram", "block").distinct()
+    columns = stage(columns, "columns")
+    meeting = (
+        columns.withColumnRenamed("block", "x").join(columns.withColumnRenamed("block", "y"), "gram")
+        .where("x <= y").select("x", "y").distinct()
+    )
+    meeting = stage(meeting, "meeting")
+    sides = meeting.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    near = sides.join(rows, "block").groupBy("x", "y").applyInPandas(
+        lambda frame: _may_link(frame, percent), "x long, y long, set_id long"
+    )
+    near = stage(near, "near_rows")
+    sets = stage(_sets(docs, near.select("set_id").distinct(), key_sets, key), "members")
+    full = near.join(rows.select("set_id", "label", "block"), "set_id").join(sets, "set_id")
+    found = full.groupBy("x", "y").applyInPandas(lambda frame: _product(frame, percent), "a long, b long")
+    return stage(found, "dense_links")
+
+
+def _facing(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+    """The rows of the two blocks, and whether they are one and the same."""
+    x, y = frame["x"].iloc[0], frame["y"].iloc[0]
+    return frame[frame["block"] == x], frame[frame["block"] == y], bool(x == y)
+
+
+def _apart(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> np.ndarray:
+    apart = left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :]
+    return np.triu(apart, 1) if same else apart
+
+
+def _may_link(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of two blocks whose size and signature let them link to another of them."""
+    left, right, same = _facing(frame)
+    fits = _apart(left, right, same)
+    n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+    fits &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    different = np.zeros(fits.shape, np.int64)
+    for sign in SIGNS:
+        s = left[sign].to_numpy().view(np.uint64)[:, None] ^ right[sign].to_numpy().view(np.uint64)[None, :]
+        different += np.bitwise_count(s)
+    fits &= different <= MOST_DIFFERENT
+    ids = np.union1d(left["set_id"].to_numpy()[fits.any(axis=1)], right["set_id"].to_numpy()[fits.any(axis=0)])
+    return pd.DataFrame({"x": frame["x"].iloc[0], "y": frame["y"].iloc[0], "set_id": ids})
+
+
+def _product(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The links of two blocks: overlaps of their rows, accumulated column by column."""
+    left, right, same = _facing(frame)
+    n, m = (side["members"].map(len).to_numpy(np.int64) for side in (left, right))
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    if not len(n) or not len(m):
+        return none
+    held = np.concatenate(right["members"].to_list())
+    order = np.argsort(held, kind="stable")
+    held, holder = held[order], np.repeat(np.arange(len(m)), m)[order]
+    shared = np.zeros((len(n), len(m)), np.int64)
+    for i, members in enumerate(left["members"]):
+        begin, end = np.searchsorted(held, members, "left"), np.searchsorted(held, members, "right")
+        width = end - begin
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
+        shared[i] = np.bincount(holder[at], minlength=len(m))
+    links = _apart(left, right, same) & (100 * shared >= percent * (n[:, None] + m[None, :] - shared))
+    i, j = np.nonzero(links)
+    a, b = left["set_id"].to_numpy()[i], right["set_id"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str, percent: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     return _verify(pairs, stage(_sets(docs, wanted, key_sets, key), "members"), percent)

@@ -7,6 +7,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -70,7 +71,10 @@ def test_ngram_join_edges(edge_docs, no_docs):
     assert ngram_join.ngram_jaccard_join(no_docs).count() == 0
 
 
-def test_ngram_join_finds_all_links_of_a_family(spark):
+@pytest.mark.parametrize("limits", [{}, {"PAIRS_AN_ENTRY": 0}, {"WIDE": 3, "BLOCK_ROWS": 8, "BLOCK_ENTRIES": 4000}])
+def test_ngram_join_finds_all_links_of_a_family(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(3)
     base = [f"w{rng.randrange(900)}" for _ in range(400)]
     texts = []
@@ -90,6 +94,26 @@ def test_ngram_join_finds_all_links_of_a_family(spark):
     assert got == dict(enumerate(parent))
 
 
+def test_block_product_equals_brute_force():
+    rng = np.random.default_rng(5)
+    sets = [np.sort(rng.permutation(40)[: rng.integers(20, 41)]).astype(np.int64) for _ in range(50)]
+    frame = pd.DataFrame({
+        "x": 1, "y": 2, "set_id": np.arange(50), "label": np.arange(50) // 2,
+        "block": [1 + i % 2 for i in range(50)], "members": sets,
+    })
+    for same in (False, True):
+        blocks = frame.assign(y=1, block=1) if same else frame
+        want = {
+            (i, j)
+            for i in range(50)
+            for j in range(i + 1, 50)
+            if i // 2 != j // 2 and (same or i % 2 != j % 2)
+            and 100 * len(np.intersect1d(sets[i], sets[j])) >= 60 * len(np.union1d(sets[i], sets[j]))
+        }
+        found = ngram_join._product(blocks, 60)
+        assert want and set(zip(found["a"], found["b"], strict=True)) == want and len(found) == len(want)
+
+
 def test_mixing(spark, edge_docs, no_docs):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"),
