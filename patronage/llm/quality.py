@@ -37,9 +37,9 @@ FLOORS = (300, 800, 800, 800)
 STEPS = 4
 KEEP = 0.75
 # Fixed values for four dimensions: scale of the scatter of the nearest three quarters,
-# and the 97.5 % point of chi-square.
+# and the 97.5 % and 99.9 % points of chi-square.
 CONSISTENCY, REWEIGHT = 1.487, 11.143
-CUTOFF = 45.0
+CUTOFF = 18.467
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -183,7 +183,9 @@ def _estimate(chosen: DataFrame, scale: float) -> DataFrame:
     for i in size:
         for j in range(i + 1):
             scatter = F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            value = scatter * scale + (FLOORS[i] ** 2 if i == j else 0)
+            value = scatter * scale
+            if i == j:
+                value = F.greatest(value, F.lit(float(FLOORS[i] ** 2)))
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             # the floors keep every pivot above zero

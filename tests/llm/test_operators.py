@@ -177,6 +177,18 @@ def test_quality_rejects_planted_outliers_only(spark):
     assert kept == set(range(400))
 
 
+def test_quality_rejects_short_gibberish(spark):
+    rng = random.Random(5)
+    words = [f"{'abcdefgh'[i % 8] * (2 + i % 7)}{i}" for i in range(500)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(60, 300)))) for i in range(400)]
+    for i in range(10):  # a symbol after every fourth of 60 words
+        drawn = [rng.choice(words) for _ in range(60)]
+        rows.append((1000 + i, " ".join(w + " |" * (at % 4 == 0) for at, w in enumerate(drawn))))
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality.quality_rules(df).where("kept").collect()}
+    assert kept == set(range(400))
+
+
 def test_chat_round_trip(spark):
     texts = ["", None, "\\", "</turn>", "\\</turn>\n", "### x", "\\\\### ", "a\n</turn>\n### user\nb", "####  </turn></turn>"]
     rows = [(1, i, ["user", "assistant", "a\n<%", None][i % 4], t) for i, t in enumerate(texts)]
