@@ -14,9 +14,11 @@ so a hub is bounded; this is what makes the graph approximate.
 step the best ``WIDTH`` whose neighbours it has not seen are opened by joins.  It stops
 when no opened node gave a better beam, or after ``STEPS``.
 
-Graph and walk compare codes, a byte per component and a scale; only codes are shipped to
-where nodes meet.  The nodes of the last beam are scored anew: inner products in double
-precision on the vectors as given.
+Graph and walk compare codes, a byte per given component, their scale, and what the added
+component lacks of the largest length; only codes are shipped to where nodes meet.  The
+added component has no part in the scale, in the cells or in a query's score, so one very
+long vector does not blur the others.  The nodes of the last beam are scored anew: inner
+products in double precision on the vectors as given.
 
 Defined results: a vector that is NULL, zero, or holds NULL, NaN or infinite components
 takes no part; nor does one with another length than most (the smaller of equals); rows
@@ -82,31 +84,46 @@ def nodes_of(vectors: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _augment(nodes: DataFrame) -> DataFrame:
+    """(node, v, lacks): ``v`` in units of the largest length, and 1 less the added component.
+
+    The added component of short vectors is so near 1 that only what it lacks tells them apart.
+    """
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    longest = nodes.agg(F.max(square)).first()[0] or 0.0
-    rest = F.sqrt(F.greatest(F.lit(longest) - square, F.lit(0.0)))
-    unit = F.lit(float(np.sqrt(longest)) or 1.0)
-    return nodes.select("node", F.transform(F.concat("v", F.array(rest)), lambda x: (x / unit).cast("float")).alias("v"))
+    longest = nodes.agg(F.max(square)).first()[0] or 1.0
+    unit = F.lit(float(np.sqrt(longest)))
+    part = F.least(square / F.lit(longest), F.lit(1.0))
+    lacks = part / (F.lit(1.0) + F.sqrt(F.lit(1.0) - part))
+    return nodes.select("node", F.transform("v", lambda x: (x / unit).cast("float")).alias("v"), lacks.cast("float").alias("lacks"))
 
 
-def encode(v: np.ndarray) -> list[bytes]:
-    """A scale and a byte per component of each row."""
+def encode(v: np.ndarray, lacks: np.ndarray) -> list[bytes]:
+    """What the added component lacks, a scale and a byte per given component of each row."""
     scale = np.maximum(np.abs(v).max(axis=1, keepdims=True), 1e-30).astype("<f4")
     small = np.rint(v / scale * 127).astype(np.int8)
-    return [a.tobytes() + b.tobytes() for a, b in zip(scale, small, strict=True)]
+    heads = np.column_stack([lacks.astype("<f4"), scale])
+    return [a.tobytes() + b.tobytes() for a, b in zip(heads, small, strict=True)]
 
 
-def decode(codes: list[bytes]) -> np.ndarray:
+def decode(codes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The given components, and what the added one lacks."""
     raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    scale = raw[:, :4].copy().view("<f4")
-    return raw[:, 4:].view(np.int8).astype(np.float32) * (scale / 127)
+    heads = raw[:, :8].copy().view("<f4")
+    return raw[:, 8:].view(np.int8).astype(np.float32) * (heads[:, 1:] / 127), heads[:, 0]
+
+
+def _near(codes: list[bytes]) -> np.ndarray:
+    """Inner products of the longer vectors, less 1; -inf for a row with itself."""
+    v, lacks = decode(codes)
+    near = v @ v.T - lacks[:, None] - lacks[None, :] + lacks[:, None] * lacks[None, :]
+    np.fill_diagonal(near, -np.inf)
+    return near
 
 
 def _codes(nodes: DataFrame) -> DataFrame:
     def make(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                yield pd.DataFrame({"node": frame["node"], "code": encode(_matrix(frame["v"]))})
+                yield pd.DataFrame({"node": frame["node"], "code": encode(_matrix(frame["v"]), frame["lacks"].to_numpy())})
 
     return nodes.mapInPandas(make, "node long, code binary")
 
@@ -118,9 +135,7 @@ def _best(candidates: DataFrame) -> DataFrame:
     return distinct.withColumn("place", F.row_number().over(order)).where(F.col("place") <= DEGREE).drop("place")
 
 
-def _all_pairs_near(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
-    near = v @ v.T
-    np.fill_diagonal(near, -np.inf)
+def _all_pairs_near(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, ...]:
     k = min(DEGREE, len(ids) - 1)
     at = np.argpartition(-near, k - 1, axis=1)[:, :k]
     return np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(near, at, 1).ravel()
@@ -129,13 +144,13 @@ def _all_pairs_near(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, ...]:
 def first_lists(codes: DataFrame, n_nodes: int, dimensions: int) -> DataFrame:
     """Neighbours within cells of at most about ``CELL`` nodes, for each projection."""
     bits = max(0, int(np.ceil(np.log2(max(n_nodes, 1) / CELL))) + 1)
-    planes = np.random.default_rng(SEED).normal(size=(PROJECTIONS, bits, dimensions + 1)).astype(np.float32)
+    planes = np.random.default_rng(SEED).normal(size=(PROJECTIONS, bits, dimensions)).astype(np.float32)
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if not len(frame):
                 continue
-            v = decode(list(frame["code"]))
+            v, _ = decode(list(frame["code"]))
             for p in range(PROJECTIONS):
                 code = (v @ planes[p].T > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(v), np.int64)
                 yield pd.DataFrame({"node": frame["node"], "code": frame["code"], "cell": code * PROJECTIONS + p})
@@ -150,7 +165,7 @@ def first_lists(codes: DataFrame, n_nodes: int, dimensions: int) -> DataFrame:
         ids = frame["node"].to_numpy()
         if len(ids) < 2:
             return pd.DataFrame({"node": ids[:0], "other": ids[:0], "near": np.zeros(0)})
-        node, other, near = _all_pairs_near(ids, decode(list(frame["code"])))
+        node, other, near = _all_pairs_near(ids, _near(list(frame["code"])))
         return pd.DataFrame({"node": node, "other": other, "near": near.astype(float)})
 
     return split.groupBy("cell", "part").applyInPandas(compare, "node long, other long, near double")
@@ -172,7 +187,7 @@ def descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
     known = codes.join(worst, "node", "left").select(
         F.col("node").alias("member"),
         "code",
-        F.when(F.col("n") >= DEGREE, F.col("worst")).otherwise(-2.0).alias("worst"),
+        F.when(F.col("n") >= DEGREE, F.col("worst")).otherwise(-4.0).alias("worst"),
     )
     groups = (
         met.join(known, "member")
@@ -185,9 +200,7 @@ def descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
         for frame in frames:
             out: list[tuple[np.ndarray, ...]] = []
             for ids, code, worst in zip(frame["member"], frame["code"], frame["worst"], strict=True):
-                v = decode(list(code))
-                near = v @ v.T
-                np.fill_diagonal(near, -np.inf)
+                near = _near(list(code))
                 a, b = np.nonzero(near > worst.astype(np.float32)[:, None])
                 out.append((ids[a], ids[b], near[a, b].astype(float)))
             if out:
@@ -201,7 +214,7 @@ def descend(graph: DataFrame, codes: DataFrame) -> DataFrame:
 
 def build_graph(codes: DataFrame, dimensions: int, rounds: int = ROUNDS) -> DataFrame:
     """(node, other, near): for each node of (node, code) its nearest others, about."""
-    graph = stage(_best(first_lists(codes, codes.count(), dimensions - 1)), "graph")
+    graph = stage(_best(first_lists(codes, codes.count(), dimensions)), "graph")
     for _ in range(rounds):
         graph = descend(graph, codes)
     return graph
@@ -227,7 +240,7 @@ def search(queries: DataFrame, graph: DataFrame, codes: DataFrame, steps: int =
                 nodes, scores, open_ = r.nodes, r.scores, r.open.astype(bool)
                 new = r.met if r.met is not None else np.zeros(0, np.int64)
                 if len(new):
-                    near = decode(list(r.code)) @ np.asarray(r.q, np.float32)
+                    near = decode(list(r.code))[0] @ np.asarray(r.q, np.float32)
                     nodes, scores = np.append(nodes, new), np.append(scores, near)
                     open_ = np.append(open_, np.ones(len(new), bool))
                 best = np.lexsort((nodes, -scores))[:BEAM]
@@ -274,9 +287,8 @@ def nearest_neighbours(
     graph = build_graph(codes, dimensions)
     asking = members_all(rows, key, vector).where(is_query)
     own = stage(asking.join(nodes.select("node", _digest("v").alias("digest")), "digest"), "queries")
-    last = F.array(F.lit(0.0))
     queries = own.select(
-        F.col("id").alias("query"), F.concat("v", last).cast("array<float>").alias("q"), F.array("node").alias("entry")
+        F.col("id").alias("query"), F.col("v").cast("array<float>").alias("q"), F.array("node").alias("entry")
     )
     found = search(queries, graph, codes)
     product = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)

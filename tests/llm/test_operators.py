@@ -250,6 +250,23 @@ def test_neighbours_recall_and_edges(spark):
     assert neighbours.nearest_neighbours(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("length", [100.0, 10_000.0])
+def test_neighbours_with_one_very_long_vector(spark, length):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(4000, 32)) + rng.normal(size=(40, 32))[np.arange(4000) % 40]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[7] *= length
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest_neighbours(df, F.col("id") % 100 == 0, k=10).groupBy("query_id").agg(F.collect_set("vec_id"))
+    mine = {q: set(found) for q, found in got.collect()}
+    hits = 0
+    for q in range(0, 4000, 100):
+        score = v @ v[q]
+        score[q] = -np.inf
+        hits += len(mine[q] & set(np.argsort(-score)[:10].tolist()))
+    assert hits / (10 * 40) >= 0.9
+
+
 def test_toxicity_chain(spark, no_docs):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
