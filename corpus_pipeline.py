@@ -36,7 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays."""
-    classes = ngram_join.ngram_jaccard_join(docs)
+    classes = ngram_join.ngram_jaccard_join(docs, count_links=False)
     first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     own = docs.select(*COLUMNS)
     unnamed = own.where("doc_id IS NULL")

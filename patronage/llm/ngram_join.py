@@ -25,8 +25,12 @@ Then columns of up to ``WIDE`` rows give all pairs that are left across componen
 are verified as well.  Wider columns are multiplied in blocks of rows: two blocks that share
 a column meet in one task, where signatures tell which rows may link, and meet again with
 these rows' whole sets, where overlaps are accumulated and only links come out.  Pairs
-inside a component are never listed, so large groups of copies cost in proportion to their
-rows.
+inside a component are never listed for the components, so large groups of copies cost in
+proportion to their rows.
+
+*Links*: the count of all of a set's links is a product of its own (``link_counts``), over
+every column and inside components too.  Blocks give a count for each row and not the
+pairs; its work grows with the pairs that are near enough, so it is left out on request.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  Defined results: a text of
 under five words is one shingle; NULL, empty and blank texts have the empty set and link
@@ -216,12 +220,12 @@ def entries(rows: DataFrame) -> DataFrame:
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id"
+    docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id", count_links: bool = True
 ) -> DataFrame:
     """``key``, n_shingles, set_id, component_id of every row, and n_links of its set.
 
-    ``n_links`` counts the verified links to other sets that formed the component; links
-    that could only join what was joined already are not looked for.
+    ``n_links`` counts all other sets that reach the threshold with the row's set; without
+    ``count_links`` there is no such column.
     """
     if percent < PERCENT:
         raise ValueError(f"the sample's bounds hold for {PERCENT} % and more")
@@ -259,41 +263,76 @@ def ngram_jaccard_join(
     wide = open_.join(rows_held.where(F.col("rows") > WIDE), "gram")
     dense = _block_links(stage(wide, "wide_columns"), docs, key_sets, key, percent)
     open_ = open_.join(rows_held.where(F.col("rows") <= WIDE).select("gram"), "gram", "left_semi")
-    other = open_.select(
-        "gram", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"),
-        *[F.col(s).alias(f"t{i}") for i, s in enumerate(SIGNS)],
-    )
-    across = (
-        open_.withColumnRenamed("set_id", "a")
-        .join(other, "gram")
-        .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _can_reach(percent))
-        .select("a", "b")
-        .distinct()
-    )
-    across = stage(across.join(tried, ["a", "b"], "left_anti"), "across")
+    across = stage(_pairs(open_, percent).join(tried, ["a", "b"], "left_anti"), "across")
     links = links.unionByName(dense).unionByName(_checked(across, docs, key_sets, key, percent))
     links = stage(links.distinct(), "all_links")
     labels = components(links)
 
-    ends = links.select(F.col("a").alias("set_id")).unionByName(links.select(F.col("b").alias("set_id")))
-    n_links = ends.groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
     joined = (
         sets.select("set_id", "least")
         .join(labels, F.col("set_id") == F.col("node"), "left")
         .withColumn("label", F.coalesce("label", "set_id"))
         .drop("node")
-        .join(n_links, "set_id", "left")
     )
     least = joined.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = stage(joined.drop("least").join(least, "label"), "classes")
     # rows without a set meet no class and stay alone
     out = read.select(key, "n_shingles", "set_id").join(classes, "set_id", "left")
-    return out.select(
+    columns = [
         key,
         "n_shingles",
         "set_id",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    ]
+    if count_links:
+        out = out.join(link_counts(held, docs, key_sets, key, percent), "set_id", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(*columns)
+
+
+def link_counts(held: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str, percent: int) -> DataFrame:
+    """(set_id, n_links): with how many other sets each set of the entries reaches the threshold.
+
+    Two rows that are in blocks which meet are counted there; the pairs of narrow columns
+    count unless they are such rows.
+    """
+    held = held.withColumn("label", F.col("set_id"))  # every two sets are apart
+    rows_held = held.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
+    wide = stage(held.join(rows_held.where(F.col("rows") > WIDE), "gram"), "wide_columns")
+    rows, meeting, full = _blocks(wide, docs, key_sets, key, percent)
+    dense = full.groupBy("x", "y").applyInPandas(
+        lambda frame: _counted(_product(frame, percent)), "set_id long, n_links long"
+    )
+    narrow = held.join(rows_held.where(F.col("rows") <= WIDE).select("gram"), "gram", "left_semi")
+    pairs = _pairs(narrow, percent)
+    blocks = rows.select(F.col("set_id").alias("a"), F.col("block").alias("p"))
+    placed = pairs.join(blocks, "a", "left").join(blocks.select(F.col("a").alias("b"), F.col("p").alias("q")), "b", "left")
+    placed = placed.withColumn("x", F.least("p", "q")).withColumn("y", F.greatest("p", "q"))
+    both = F.col("p").isNotNull() & F.col("q").isNotNull()
+    known = meeting.select("x", "y", F.lit(True).alias("known"))
+    left = placed.join(known, ["x", "y"], "left").where(~(both & F.coalesce("known", F.lit(False)))).select("a", "b")
+    links = _checked(stage(left, "narrow_pairs"), docs, key_sets, key, percent)
+    ends = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
+    return stage(dense.unionByName(ends).groupBy("set_id").agg(F.sum("n_links").alias("n_links")), "n_links")
+
+
+def _counted(links: pd.DataFrame) -> pd.DataFrame:
+    ids, n = np.unique(links[["a", "b"]].to_numpy(np.int64), return_counts=True)
+    return pd.DataFrame({"set_id": ids, "n_links": n})
+
+
+def _pairs(held: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: the rows of different labels that share a column and may link."""
+    other = held.select(
+        "gram", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"),
+        *[F.col(s).alias(f"t{i}") for i, s in enumerate(SIGNS)],
+    )
+    return (
+        held.withColumnRenamed("set_id", "a")
+        .join(other, "gram")
+        .where((F.col("a") < F.col("b")) & (F.col("label") != F.col("other")) & _can_reach(percent))
+        .select("a", "b")
+        .distinct()
     )
 
 
@@ -334,6 +373,15 @@ def _across(open_: DataFrame) -> tuple[int, float]:
 
 def _block_links(wide: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str, percent: int) -> DataFrame:
     """Links (a, b) across components of rows that share one of the wide columns."""
+    _, _, full = _blocks(wide, docs, key_sets, key, percent)
+    found = full.groupBy("x", "y").applyInPandas(lambda frame: _product(frame, percent), "a long, b long")
+    return stage(found, "dense_links")
+
+
+def _blocks(
+    wide: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str, percent: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows with their blocks, the blocks that meet, and the whole sets that may link there."""
     # a row's block is a part of the rows that have the same widest column
     rows = wide.groupBy("set_id").agg(
         *[F.first(c).alias(c) for c in ("n", "label", *SIGNS)],
@@ -358,8 +406,7 @@ def _block_links(wide: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str
     near = stage(near, "near_rows")
     sets = stage(_sets(docs, near.select("set_id").distinct(), key_sets, key), "members")
     full = near.join(rows.select("set_id", "label", "block"), "set_id").join(sets, "set_id")
-    found = full.groupBy("x", "y").applyInPandas(lambda frame: _product(frame, percent), "a long, b long")
-    return stage(found, "dense_links")
+    return rows, meeting, full
 
 
 def _facing(frame: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:

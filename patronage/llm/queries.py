@@ -41,7 +41,7 @@ def tokenizer() -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    joined = ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), count_links=False)
     return joined.select("doc_id", "n_shingles", "component_id")
 
 

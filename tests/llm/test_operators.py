@@ -94,6 +94,26 @@ def test_ngram_join_finds_all_links_of_a_family(spark, monkeypatch, limits):
     assert got == dict(enumerate(parent))
 
 
+@pytest.mark.parametrize("limits", [{}, {"WIDE": 3, "BLOCK_ROWS": 8, "BLOCK_ENTRIES": 4000}])
+def test_ngram_join_counts_every_link(spark, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(6)
+    texts = []
+    for family in range(3):
+        base = [f"w{rng.randrange(900)}" for _ in range(200)]
+        for i in range(12):
+            words = list(base)
+            for _ in range(rng.choice([1, 2, 5])):
+                words[rng.randrange(len(words))] = f"n{family}{i}"
+            texts.append(" ".join(words))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_jaccard_join(df).collect()}
+    sets = [shingles(t) for t in texts]
+    near = lambda a, b: a != b and 100 * len(a & b) >= 80 * len(a | b)
+    assert got == {i: sum(near(a, b) for b in sets) for i, a in enumerate(sets)}
+
+
 def test_block_product_equals_brute_force():
     rng = np.random.default_rng(5)
     sets = [np.sort(rng.permutation(40)[: rng.integers(20, 41)]).astype(np.int64) for _ in range(50)]
