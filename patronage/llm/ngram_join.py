@@ -1,4 +1,5 @@
-"""N-gram Jaccard join: a blocked sparse product of documents by n-gram incidence.
+"""N-gram Jaccard join: candidate pairs of narrow columns, verified, and a blocked sparse
+product of documents by n-gram incidence for wide ones.
 
 Rows of the incidence matrix are the distinct sets; equal sets are one row.  A set is
 kept as 64-bit hashes of its shingles, and columns are ordered by how many sampled rows
@@ -15,7 +16,8 @@ documents that share a passage make no pair.
 ``size - s + 1`` in the common order, rarest first, so only that many of a row's columns
 take part.  A column of one row links nothing and is dropped at once, which ends most rows.
 
-The product is accumulated by blocks of columns in passes.  First each column meets
+Candidates are made in passes, and whole sets decide on each (no overlap counts are
+accumulated outside wide columns).  First each column meets
 its least row only, which costs no more than the incidence has entries; sizes bound the
 overlap and what cannot reach it is dropped; the rest is verified on whole sets and
 components are formed.  While the columns whose rows are still in several components hold
@@ -58,7 +60,7 @@ LEAST_SHARED = 64
 WHOLE_BELOW = 103  # a set under this has all its partners' shared shingles sampled
 CACHED_WORDS = 1_000_000
 SIGNATURE = 256  # bits
-MOST_DIFFERENT = 60
+MOST_DIFFERENT = 65
 SIGNS = [f"s{i}" for i in range(SIGNATURE // 64)]
 WIDE = 64  # rows of a column
 BLOCK_ROWS, BLOCK_ENTRIES = 256, 1 << 18  # of a block of rows, about

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out figures, with edge rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -114,6 +115,12 @@ def test_ngram_join_counts_every_link(spark, monkeypatch, limits):
     assert got == {i: sum(near(a, b) for b in sets) for i, a in enumerate(sets)}
 
 
+def test_signature_bound_holds():
+    bits, most = ngram_join.SIGNATURE, ngram_join.MOST_DIFFERENT
+    missed = sum(math.comb(bits, k) * 0.1**k * 0.9 ** (bits - k) for k in range(most + 1, bits + 1))
+    assert missed < 1e-12
+
+
 def test_block_product_equals_brute_force():
     rng = np.random.default_rng(5)
     sets = [np.sort(rng.permutation(40)[: rng.integers(20, 41)]).astype(np.int64) for _ in range(50)]
