@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,6 +57,40 @@ def word_count(text: Column) -> Column:
     return F.size(word_list(text)).cast("long")
 
 
+def crc_fold(key: Column, folds: int) -> Column:
+    """``crc32`` of a key as text, modulo ``folds``; NULL is the empty text."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds
+
+
+def labelled_sample(
+    rows: DataFrame, docs: DataFrame, key: str, value: str, per_value: int, total: int, salt: str
+) -> list[Row]:
+    """At most ``per_value`` rows (key, value, text) of each value and ``total`` of all.
+
+    ``rows`` are (key, value) without texts.  Those with the least hash of their key are
+    taken.  A share of a few times the bound is cut by the hash alone, by each value's
+    count, so no ranking meets all rows of a frequent value; texts are read last, for the
+    chosen keys only.  A key that repeats counts once, with its least text.
+    """
+    digest = F.xxhash64(F.col(key).cast("string"), F.lit(salt))
+    rows = rows.select(key, value).dropna().distinct()
+    counts = rows.groupBy(value).agg(F.count("*").alias("_of"))
+    values = max(counts.count(), 1)
+    bound = min(per_value, max(total // values, 1))
+    uniform = F.shiftrightunsigned(digest, 11) / F.lit(float(1 << 53))
+    few = rows.join(counts, value).where(uniform * F.col("_of") < 4 * bound + 64)
+    first = Window.partitionBy(value).orderBy(digest, key)
+    chosen = (
+        few.withColumn("place", F.row_number().over(first))
+        .where(F.col("place") <= bound)
+        .select(key, value, "place")
+    )
+    # at most ``total`` keys and as many values, or one a value beyond that
+    texts = docs.select(key, "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), key)
+    found = texts.groupBy(key, value, "place").agg(F.min("text").alias("text"))
+    return found.orderBy("place", value).collect()
+
+
 def carried(df: DataFrame, order: list[str], value: str, known: Column) -> DataFrame:
     """Give every row the ``value`` of the last row at or before it where ``known`` holds.
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patronage.llm import (
     chat,
+    compression,
     language_id,
+    lexical,
     mixing,
     neighbours,
     ngram_join,
@@ -98,6 +100,16 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op13_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compression.train(docs, table(spark, sf_dir, "labels"))
+    return compression.score_quality(docs, model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mix_sources": op2_mix_sources,
@@ -109,6 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id": op9_language_id,
     "op10_pattern_packing": op10_pattern_packing,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_compression_quality": op13_compression_quality,
 }
 
 SQL: dict[str, str] = {
@@ -176,4 +190,32 @@ WITH cut AS (
 )
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM parts LEFT JOIN fits USING (page_id)""",
+    "op11_lexical_search": r"""
+WITH held AS (
+  SELECT doc_id, row_number() OVER () AS doc, unnest(list_filter(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')) AS term
+  FROM documents WHERE text IS NOT NULL
+), lengths AS (SELECT doc, any_value(doc_id) AS doc_id, count(*) AS n FROM held GROUP BY doc
+), corpus AS (SELECT count(*) AS total_docs, CAST(sum(n) AS BIGINT) AS total_terms FROM lengths
+), asked AS (
+  SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')) AS term
+  FROM benchmark WHERE text IS NOT NULL
+), postings AS (
+  SELECT doc, term, count(*) AS tf FROM held
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * total_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM postings, corpus GROUP BY term, total_docs
+), scored AS (
+  SELECT item_id, doc, doc_id, CAST(sum(w * ((1000000000 * tf)
+    // (1000 * tf + 8 * (100 - 90 + ((90 * n * total_docs) // total_terms))))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (doc), corpus
+  GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)
+QUALIFY row_number() OVER best <= 10""",
 }
