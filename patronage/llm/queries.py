@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from patronage.llm import (
     chat,
+    collocations,
     compression,
     language_id,
     lexical,
@@ -104,6 +105,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.lexical_search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = compression.train(docs, table(spark, sf_dir, "labels"))
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_pattern_packing": op10_pattern_packing,
     "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
     "op13_compression_quality": op13_compression_quality,
 }
 
@@ -218,4 +224,43 @@ WITH held AS (
 SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
 WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)
 QUALIFY row_number() OVER best <= 10""",
+    "op12_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), words AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), counts AS (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, 1 AS size, unnest(w) AS phrase FROM words
+    UNION ALL
+    SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM words
+    UNION ALL
+    SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM words
+  ) GROUP BY ALL
+), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size > 1 AND f >= 10
+), cuts AS (
+  SELECT c.lang, c.size, c.phrase, c.a, k, x.f AS l, y.f AS r,
+    (1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS score
+  FROM candidates c, range(1, 3) AS k(k)
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') AND k < c.size
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:c.size], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, phrase, max(a) AS longest FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM candidates WHERE size = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE size = 3
+  ) GROUP BY ALL
+), kept AS (
+  SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase)
+  WHERE longest IS NULL OR 100 * longest < 50 * a
+)
+SELECT lang, CAST(row_number() OVER best AS INTEGER) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals USING (lang)
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER best <= 2000""",
 }
