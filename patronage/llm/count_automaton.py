@@ -145,7 +145,7 @@ class CountAutomaton:
             return found
 
         leaf_at, pair_at = 0, n3
-        for i, pair_end in enumerate(pair_ends):
+        for i, pair_end in enumerate(pair_ends[: len(head)]):
             first = pair_at
             while pair_at < pair_end:
                 leaf_end = leaf_ends[pair_at - n3]
