@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from patronage.llm.common import stage
 from patronage.llm.count_automaton import CountAutomaton, Grams, Phrase, count_grams, union
 
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 SEGMENT = 131_072
-MARK = 8192
-RANGE_GRAMS = 500_000
+MARK = 4096
+RANGE_GRAMS = 250_000
 MOST_RANGES = 200_000
 READ = 1 << 20
 NO_LANGUAGE = "und"
@@ -63,10 +63,10 @@ def numbered(text: str | None, numbers: _Numbers) -> Iterator[np.ndarray]:
     while start < len(data):
         end = data.find(b" ", start + READ)
         end = len(data) if end < 0 else end
-        tokens = data[start:end].replace(b".", b" . ").split(b" ")
-        yield np.fromiter((numbers[t] for t in tokens if t), np.int64)
+        tokens = data[start:end].replace(b".", b" . ").split()  # blanks are all that is left to part words
+        yield np.fromiter(map(numbers.__getitem__, tokens), np.int32, len(tokens))
         start = end
-    yield np.zeros(1, np.int64)
+    yield np.zeros(1, np.int32)
 
 
 def _flushed(sequences: dict[str, list[np.ndarray]], numbers: _Numbers) -> Iterator[pa.RecordBatch]:
@@ -77,9 +77,7 @@ def _flushed(sequences: dict[str, list[np.ndarray]], numbers: _Numbers) -> Itera
     place = np.zeros(len(by_number), np.int64)
     place[order] = np.arange(1, len(order) + 1)
     for lang, parts in sequences.items():
-        grams = count_grams(words, place[np.concatenate(parts)])
-        for start in range(0, len(grams), SEGMENT):
-            own = grams.part(start, start + SEGMENT)
+        for own in count_grams(words, place[np.concatenate(parts)], SEGMENT):
             marks = [TAB.join(own.phrase(i)) for i in range(0, len(own), MARK)]
             yield pa.record_batch(
                 {
@@ -147,7 +145,9 @@ def united(parts: DataFrame, bounds: dict[str, list[Phrase]]) -> DataFrame:
             for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = CountAutomaton.from_bytes(data).grams()
                 found = list(cut(grams, bounds.get(lang, [])))
-                own = [CountAutomaton.build(grams.part(s, e)).to_bytes() for _, s, e in found] if len(found) > 1 else [data]
+                # what only travels is a tree; the union shares states again
+                own = [CountAutomaton.build(grams.part(s, e), False).to_bytes() for _, s, e in found]
+                own = own if len(found) > 1 else [data]
                 yield pa.record_batch(
                     {
                         "lang": pa.array([lang] * len(own), pa.string()),

@@ -39,7 +39,7 @@ class Grams:
         at = self.at[start:end]
         used = np.unique(at)
         used = used[used > 0]
-        place = np.zeros(len(self.words) + 1, np.int64)
+        place = np.zeros(len(self.words) + 1, np.int32)
         place[used] = np.arange(1, len(used) + 1)
         return Grams([self.words[i - 1] for i in used.tolist()], place[at], self.weight[start:end])
 
@@ -73,23 +73,40 @@ def collected(words: list[bytes], at: np.ndarray, weight: np.ndarray) -> Grams:
     return Grams(words, at[order[new]], added)
 
 
-def count_grams(words: list[bytes], sequence: np.ndarray) -> Grams:
-    """Count the n-grams of a sequence of places in ``words``, from 1; 0 parts pieces."""
+def count_grams(words: list[bytes], sequence: np.ndarray, size: int) -> Iterator[Grams]:
+    """Count the n-grams of a sequence of places in ``words``, from 1; 0 parts pieces.
+
+    Gives them sorted, ``size`` at a time, each time with the words that occur.
+    """
     padded = np.append(sequence.astype(np.int64), [0] * ORDER)
-    one, two, three = (padded[i : len(padded) - ORDER + 1 + i] for i in range(ORDER))
+    one, two, three = (padded[i : len(padded) - ORDER + i] for i in range(ORDER))
     bits = (len(words) + 1).bit_length()
+    pairs = (one > 0) & (two > 0)
+    triples = pairs & (three > 0)
     if 3 * bits > 63:
-        rows = [np.column_stack([one, two * (n > 1), three * (n > 2)]) for n in (1, 2, 3)]
-        whole = [one > 0, (one > 0) & (two > 0), (one > 0) & (two > 0) & (three > 0)]
-        at = np.concatenate([r[w] for r, w in zip(rows, whole, strict=True)])
-        return collected(words, at, np.ones(len(at), np.int64))
-    single = one[one > 0] << 2 * bits
-    double = (one << 2 * bits | two << bits)[(one > 0) & (two > 0)]
-    triple = (one << 2 * bits | two << bits | three)[(one > 0) & (two > 0) & (three > 0)]
-    keys, counts = np.unique(np.concatenate([single, double, triple]), return_counts=True)
+        rows = [(one > 0, (1, 0, 0)), (pairs, (1, 1, 0)), (triples, (1, 1, 1))]
+        at = np.concatenate([np.column_stack([one * x, two * y, three * z])[kept] for kept, (x, y, z) in rows])
+        whole = collected(words, at, np.ones(len(at), np.int64))
+        for start in range(0, len(whole), size):
+            yield whole.part(start, start + size)
+        return
+    keys = one << 2 * bits
+    parts = [keys[one > 0]]
+    keys |= two << bits
+    parts.append(keys[pairs])
+    keys |= three
+    parts.append(keys[triples])
+    keys = np.concatenate(parts)
+    del parts, pairs, triples, padded, one, two, three
+    keys.sort()
+    new = np.flatnonzero(np.diff(keys, prepend=-1))
+    counts = np.diff(np.append(new, len(keys)))
+    keys = keys[new]
     mask = (1 << bits) - 1
-    at = np.column_stack([keys >> 2 * bits, keys >> bits & mask, keys & mask])
-    return Grams(words, at, counts.astype(np.int64))
+    for start in range(0, len(keys), size):
+        own = keys[start : start + size]
+        at = np.column_stack([own >> 2 * bits, own >> bits & mask, own & mask])
+        yield Grams(words, at, counts[start : start + size]).part(0, size)
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -98,6 +115,58 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(size.sum())) + np.repeat(start - before, size)
 
 
+class _Register(dict):
+    """Numbers of states by their arcs, and the arcs in order of the numbers.
+
+    Unless ``shared``, each state is new, as in a tree.
+    """
+
+    def __init__(self, shared: bool):
+        self.shared, self.tally = shared, 1
+        self[b""] = END
+        self.sizes: list[np.ndarray] = [np.zeros(1, np.int64)]
+        self.arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def __missing__(self, arcs: bytes | tuple) -> int:
+        self[arcs] = number = len(self)
+        return number
+
+    def add(
+        self, symbol: np.ndarray, weight: np.ndarray, target: np.ndarray, ends: np.ndarray, root: bool = False
+    ) -> np.ndarray:
+        """The numbers of states whose arcs end at ``ends``, one after the other."""
+        size = np.diff(ends, prepend=0)
+        first = ends - size
+        if not self.shared:
+            own = (size > 0) | root
+            numbers = np.where(own, self.tally + np.cumsum(own) - 1, END)
+            self.tally += int(own.sum())
+            self.sizes.append(size[own])
+            self.arcs.append((symbol, weight, target))
+            return numbers
+        arcs = np.empty(len(symbol), [("s", "<i4"), ("t", "<i4"), ("w", "<i8")])
+        arcs["s"], arcs["t"], arcs["w"] = symbol, target, weight
+        data = arcs.tobytes()
+        before = len(self)
+        cuts = zip((16 * first).tolist(), (16 * ends).tolist(), strict=True)
+        if root:
+            self[None] = before
+            numbers = np.array([before])
+        else:
+            numbers = np.fromiter(map(self.__getitem__, [data[i:j] for i, j in cuts]), np.int64, len(ends))
+        # new numbers rise, so the first state that got one is where the numbers pass all before
+        most = np.maximum.accumulate(np.append(before - 1, numbers))
+        new = np.flatnonzero(most[1:] > most[:-1])
+        own = _spread(first[new], size[new])
+        self.sizes.append(size[new])
+        self.arcs.append((symbol[own], weight[own], target[own]))
+        return numbers
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.append(0, np.cumsum(np.concatenate(self.sizes)))
+        return starts, *(np.concatenate(x) for x in zip(*self.arcs, strict=True))
+
+
 @dataclass
 class CountAutomaton:
     """State ``s`` has the arcs from ``starts[s]`` up to ``starts[s + 1]``, sorted by symbol."""
@@ -113,9 +182,10 @@ class CountAutomaton:
         return len(self.starts) - 2
 
     @staticmethod
-    def build(grams: Grams) -> CountAutomaton:
-        """Read sorted n-grams in order; a state is looked up, or added, when the next
-        n-gram no longer passes through it."""
+    def build(grams: Grams, shared: bool = True) -> CountAutomaton:
+        """Read sorted n-grams in order.  A state that the next n-gram no longer passes
+        through is looked up by its arcs, or added: first those after two words, then
+        those after one, then the root.  Without ``shared`` it is a tree, made sooner."""
         at, weight = grams.at, grams.weight.astype("<i8")
         length = (at > 0).sum(axis=1)
         change = np.ones((len(at), 2), bool)
@@ -124,47 +194,20 @@ class CountAutomaton:
         leaf = np.flatnonzero(length == 3)
         pair = np.flatnonzero(change[:, 1] & (length > 1))
         head = np.flatnonzero(change[:, 0])
-        # the arcs of each depth, in order; a path that only begins others has no weight
-        symbol = np.concatenate([at[leaf, 2], at[pair, 1], at[head, 0]]).astype("<i4")
-        own = np.concatenate(
-            [weight[leaf], np.where(length[pair] == 2, weight[pair], 0), np.where(length[head] == 1, weight[head], 0)]
-        ).astype("<i8")
-        target = np.zeros(len(symbol), "<i4")
-        n3, n2 = len(leaf), len(pair)
-        leaf_ends = np.searchsorted(leaf, np.append(pair[1:], len(at))).tolist()
-        pair_ends = (n3 + np.searchsorted(pair, np.append(head[1:], len(at)))).tolist()
-        symbols, weights = symbol.tobytes(), own.tobytes()
-        known: dict[bytes, int] = {b"": END}
-        spans: list[tuple[int, int]] = [(0, 0)]
-
-        def state(start: int, end: int, targets: bytes) -> int:
-            key = symbols[4 * start : 4 * end] + weights[8 * start : 8 * end] + targets
-            found = known.setdefault(key, len(spans))
-            if found == len(spans):
-                spans.append((start, end))
-            return found
-
-        leaf_at, pair_at = 0, n3
-        for i, pair_end in enumerate(pair_ends[: len(head)]):
-            first = pair_at
-            while pair_at < pair_end:
-                leaf_end = leaf_ends[pair_at - n3]
-                if leaf_end > leaf_at:
-                    target[pair_at] = state(leaf_at, leaf_end, bytes(4 * (leaf_end - leaf_at)))
-                    leaf_at = leaf_end
-                pair_at += 1
-            target[n3 + n2 + i] = state(first, pair_end, target[first:pair_end].tobytes())
-        spans.append((n3 + n2, len(symbol)))  # the root
-        at_arc = np.array(spans, np.int64)
-        size = at_arc[:, 1] - at_arc[:, 0]
-        arcs = _spread(at_arc[:, 0], size)
-        return CountAutomaton(
-            grams.words, np.append(0, np.cumsum(size)), symbol[arcs], own[arcs], target[arcs]
-        )
+        states = _Register(shared)
+        # a path that only begins others has no weight of its own
+        ends = np.searchsorted(leaf, np.append(pair[1:], len(at)))[: len(pair)]
+        after_two = states.add(at[leaf, 2], weight[leaf], np.zeros(len(leaf), "<i4"), ends)
+        own = np.where(length[pair] == 2, weight[pair], 0)
+        ends = np.searchsorted(pair, np.append(head[1:], len(at)))[: len(head)]
+        after_one = states.add(at[pair, 1], own, after_two, ends)
+        own = np.where(length[head] == 1, weight[head], 0)
+        states.add(at[head, 0], own, after_one, np.array([len(head)]), root=True)
+        return CountAutomaton(grams.words, *states.arrays())
 
     def grams(self) -> Grams:
         """All n-grams with a weight."""
-        states, prefix = np.array([self.root]), np.zeros((1, ORDER), np.int64)
+        states, prefix = np.array([self.root]), np.zeros((1, ORDER), np.int32)
         found, weights = [], []
         for depth in range(ORDER):
             size = self.starts[states + 1] - self.starts[states]
@@ -175,8 +218,9 @@ class CountAutomaton:
             weights.append(self.weight[arcs])
             states = self.target[arcs]
         at, weight = np.concatenate(found), np.concatenate(weights)
-        kept = weight > 0
-        return collected(self.words, at[kept], weight[kept])
+        kept = np.flatnonzero(weight > 0)
+        kept = kept[np.argsort(keys_of(at[kept], len(self.words)), kind="stable")]
+        return Grams(self.words, at[kept], weight[kept])
 
     def compose(self, counts: CountAutomaton) -> Iterator[tuple[Phrase, int, int]]:
         """The phrases that both hold, with both weights, by walking both at once."""
@@ -231,6 +275,6 @@ def union(parts: Sequence[Grams]) -> Grams:
         return parts[0]
     words = sorted(set().union(*[p.words for p in parts]))
     index = {w: i for i, w in enumerate(words, 1)}
-    places = [np.array([0, *[index[w] for w in p.words]], np.int64) for p in parts]
+    places = [np.array([0, *[index[w] for w in p.words]], np.int32) for p in parts]
     at = np.concatenate([place[p.at] for place, p in zip(places, parts, strict=True)])
     return collected(words, at, np.concatenate([p.weight for p in parts]))
