@@ -8,6 +8,9 @@ into words at blanks and tabs.  All is done for each language by itself:
 2.  Ranges of phrases are cut so that each holds about ``RANGE_GRAMS``, by marks that every
     ``MARK``-th phrase of each segment leaves; a frequent first word is cut like any other.
     Segments are cut at these bounds and the parts of a range united, weights added.
+    Where there are more than ``FAN`` ranges, segments are first merged within ``FAN`` wider
+    ones, a group of them at a time, then within ``FAN`` times as many, so that cuts do not
+    leave crumbs.
 3.  Phrases with a count of ``least`` are candidates.  Their parts, the words before and
     after each cut, are sent to the ranges that hold them, where an automaton of what is
     asked is composed with that of the counts.
@@ -36,9 +39,10 @@ from patronage.llm.count_automaton import CountAutomaton, Grams, Phrase, count_g
 
 FLUSH_WORDS = 1_000_000
 SEGMENT = 131_072
-MARK = 4096
-RANGE_GRAMS = 250_000
+MARK = 8192
+RANGE_GRAMS = 1_000_000
 MOST_RANGES = 200_000
+FAN = 512
 READ = 1 << 20
 NO_LANGUAGE = "und"
 TAB = b"\t"  # parts the words of a phrase while it is a key
@@ -56,9 +60,9 @@ class _Numbers(dict):
         return self[word]
 
 
-def numbered(text: str | None, numbers: _Numbers) -> Iterator[np.ndarray]:
+def numbered(text: bytes, numbers: _Numbers) -> Iterator[np.ndarray]:
     """The words of a whole text as numbers, and a 0 where a piece ends."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(PIECE_BYTES)
+    data = text.translate(PIECE_BYTES)
     start = 0
     while start < len(data):
         end = data.find(b" ", start + READ)
@@ -69,24 +73,36 @@ def numbered(text: str | None, numbers: _Numbers) -> Iterator[np.ndarray]:
     yield np.zeros(1, np.int32)
 
 
+def _segments(lang: str, grams: Grams) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(grams), SEGMENT):
+        own = grams.part(start, start + SEGMENT)
+        yield pa.record_batch(
+            {
+                "lang": pa.array([lang], pa.string()),
+                "n_grams": pa.array([len(own)], pa.int64()),
+                "marks": pa.array([[TAB.join(own.phrase(i)) for i in range(0, len(own), MARK)]], pa.list_(pa.binary())),
+                "automaton": pa.array([CountAutomaton.build(own).to_bytes()], pa.binary()),
+            }
+        )
+
+
 def _flushed(sequences: dict[str, list[np.ndarray]], numbers: _Numbers) -> Iterator[pa.RecordBatch]:
     """The segments of what a task has read."""
     by_number = list(numbers)
     order = sorted(range(1, len(by_number)), key=by_number.__getitem__)
     words = [by_number[i] for i in order]
-    place = np.zeros(len(by_number), np.int64)
+    place = np.zeros(len(by_number), np.int32)
     place[order] = np.arange(1, len(order) + 1)
     for lang, parts in sequences.items():
-        for own in count_grams(words, place[np.concatenate(parts)], SEGMENT):
-            marks = [TAB.join(own.phrase(i)) for i in range(0, len(own), MARK)]
-            yield pa.record_batch(
-                {
-                    "lang": pa.array([lang]),
-                    "n_grams": pa.array([len(own)], pa.int64()),
-                    "marks": pa.array([marks], pa.list_(pa.binary())),
-                    "automaton": pa.array([CountAutomaton.build(own).to_bytes()], pa.binary()),
-                }
-            )
+        for grams in count_grams(words, place[np.concatenate(parts)], SEGMENT):
+            yield from _segments(lang, grams)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """One row at a time: a batch of long values is not held twice."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [column[i].as_py() for column in batch.columns]
 
 
 def segments(docs: DataFrame, lang: str, text: str) -> DataFrame:
@@ -94,27 +110,33 @@ def segments(docs: DataFrame, lang: str, text: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, sequences, held = _Numbers({b".": 0}), defaultdict(list), 0
-        for batch in batches:
-            for own, t in zip(batch.column("lang").to_pylist(), batch.column("t").to_pylist(), strict=True):
-                for part in numbered(t, numbers):
-                    sequences[own].append(part)
-                    held += len(part)
-                if held >= FLUSH_WORDS:
-                    yield from _flushed(sequences, numbers)
-                    numbers, sequences, held = _Numbers({b".": 0}), defaultdict(list), 0
+        for own, data in _rows(batches):
+            for part in numbered(data, numbers):
+                sequences[own].append(part)
+                held += len(part)
+            if held >= FLUSH_WORDS:
+                yield from _flushed(sequences, numbers)
+                numbers, sequences, held = _Numbers({b".": 0}), defaultdict(list), 0
         yield from _flushed(sequences, numbers)
 
     rows = docs.select(
         F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"),
-        F.col(text).cast("string").alias("t"),
+        F.col(text).cast("string").cast("binary").alias("t"),
     ).where(F.length("t") > 0)
-    return rows.mapInArrow(count, "lang string, n_grams long, marks array<binary>, automaton binary")
+    return rows.mapInArrow(count, SEGMENTS)
+
+
+SEGMENTS = "lang string, n_grams long, marks array<binary>, automaton binary"
 
 
-def range_bounds(parts: DataFrame) -> dict[str, list[Phrase]]:
-    """The first phrases of a language's ranges but the first; at most ``MOST_RANGES`` in all."""
+def ranges_of(parts: DataFrame) -> tuple[int, int]:
+    """How many phrases segments hold, and how many ranges they make."""
     total = parts.agg(F.sum("n_grams")).first()[0] or 0
-    ranges = min(MOST_RANGES, -(-total // RANGE_GRAMS))
+    return total, min(MOST_RANGES, -(-total // RANGE_GRAMS))
+
+
+def range_bounds(parts: DataFrame, ranges: int) -> dict[str, list[Phrase]]:
+    """The first phrases of a language's ranges but the first."""
     if ranges < 2:
         return {}
     marks = parts.select("lang", F.explode("marks").alias("mark"))
@@ -137,59 +159,74 @@ def cut(grams: Grams, bounds: list[Phrase]) -> Iterator[tuple[int, int, int]]:
             yield low + i, start, end
 
 
-def united(parts: DataFrame, bounds: dict[str, list[Phrase]]) -> DataFrame:
-    """One automaton for each language and range."""
+def _cut(parts: DataFrame, bounds: dict[str, list[Phrase]], groups: int) -> DataFrame:
+    """(lang, range, group, automaton): segments cut at the bounds, dealt by all but the last."""
 
     def to_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = CountAutomaton.from_bytes(data).grams()
-                found = list(cut(grams, bounds.get(lang, [])))
-                # what only travels is a tree; the union shares states again
-                own = [CountAutomaton.build(grams.part(s, e), False).to_bytes() for _, s, e in found]
-                own = own if len(found) > 1 else [data]
-                yield pa.record_batch(
-                    {
-                        "lang": pa.array([lang] * len(own), pa.string()),
-                        "range": pa.array([i for i, _, _ in found], pa.int32()),
-                        "automaton": pa.array(own, pa.binary()),
-                    }
-                )
+        for lang, group, data in _rows(batches):
+            grams = CountAutomaton.from_bytes(data).grams()
+            found = list(cut(grams, bounds.get(lang, [])))
+            # what only travels is a tree; the union shares states again
+            own = [CountAutomaton.build(grams.part(s, e), False).to_bytes() for _, s, e in found]
+            own = own if len(found) > 1 else [data]
+            yield pa.record_batch(
+                {
+                    "lang": pa.array([lang] * len(own), pa.string()),
+                    "range": pa.array([i for i, _, _ in found], pa.int32()),
+                    "group": pa.array([group] * len(own), pa.int64()),
+                    "automaton": pa.array(own, pa.binary()),
+                }
+            )
 
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, pending, size = None, [], 0
+    group = F.pmod(F.xxhash64("automaton"), F.lit(groups))
+    dealt = parts.select("lang", group.alias("group"), "automaton")
+    dealt = dealt.mapInArrow(to_ranges, "lang string, range int, group long, automaton binary")
+    return dealt.repartition("lang", "range", "group").sortWithinPartitions("lang", "range", "group")
+
+
+def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Grams]]:
+    """(lang, range, phrases) of each group of sorted rows, added up as they come."""
+    current, pending, size = None, [], 0
+    for *key, data in _rows(batches):
+        if key != current:
+            if pending:
+                yield current[0], current[1], union(pending)
+            current, pending, size = key, [], 0
+        pending.append(CountAutomaton.from_bytes(data).grams())
+        size += len(pending[-1])
+        if size > 2 * max(len(pending[0]), RANGE_GRAMS // 2):
+            pending = [union(pending)]
+            size = len(pending[0])
+    if pending:
+        yield current[0], current[1], union(pending)
+
+
+def merged(parts: DataFrame, bounds: dict[str, list[Phrase]], groups: int) -> DataFrame:
+    """Fewer segments, each within one range: those of a range and group as one sorted list."""
 
-        def made() -> pa.RecordBatch:
-            grams = union(pending)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, _, grams in _unions(batches):
+            yield from _segments(lang, grams)
+
+    return _cut(parts, bounds, groups).mapInArrow(merge, SEGMENTS)
+
+
+def united(parts: DataFrame, bounds: dict[str, list[Phrase]]) -> DataFrame:
+    """One automaton for each language and range."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, number, grams in _unions(batches):
             words = int(grams.weight[grams.at[:, 1] == 0].sum())
-            return pa.record_batch(
+            yield pa.record_batch(
                 {
-                    "lang": pa.array([current[0]]),
-                    "range": pa.array([current[1]], pa.int32()),
+                    "lang": pa.array([lang], pa.string()),
+                    "range": pa.array([number], pa.int32()),
                     "n_words": pa.array([words], pa.int64()),
                     "automaton": pa.array([CountAutomaton.build(grams).to_bytes()], pa.binary()),
                 }
             )
 
-        for batch in batches:
-            for row in zip(*[batch.column(i) for i in range(3)], strict=True):
-                lang, number = row[0].as_py(), row[1].as_py()
-                if (lang, number) != current:
-                    if pending:
-                        yield made()
-                    current, pending, size = (lang, number), [], 0
-                pending.append(CountAutomaton.from_bytes(row[2].as_py()).grams())
-                size += len(pending[-1])
-                if size > 4 * max(len(pending[0]), RANGE_GRAMS):
-                    pending = [union(pending)]
-                    size = len(pending[0])
-        if pending:
-            yield made()
-
-    columns = "lang string, range int, automaton binary"
-    dealt = parts.select("lang", "automaton").mapInArrow(to_ranges, columns)
-    dealt = dealt.repartition("lang", "range").sortWithinPartitions("lang", "range")
-    return dealt.mapInArrow(unite, "lang string, range int, n_words long, automaton binary")
+    return _cut(parts, bounds, 1).mapInArrow(unite, "lang string, range int, n_words long, automaton binary")
 
 
 def candidate_parts(automata: DataFrame, bounds: dict[str, list[Phrase]], least: int) -> DataFrame:
@@ -197,21 +234,20 @@ def candidate_parts(automata: DataFrame, bounds: dict[str, list[Phrase]], least:
     with the range that holds it."""
 
     def cut_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = CountAutomaton.from_bytes(data).grams()
-                own, rows = bounds.get(lang, []), []
-                for i in np.flatnonzero((grams.at[:, 1] > 0) & (grams.weight >= least)).tolist():
-                    phrase, a = grams.phrase(i), int(grams.weight[i])
-                    key = TAB.join(phrase)
-                    for k in range(1, len(phrase)):
-                        for last, part in ((False, phrase[:k]), (True, phrase[k:])):
-                            rows.append((key, len(phrase), a, k, last, TAB.join(part), bisect_right(own, part)))
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32())
-                names = ("phrase", "words", "a", "cut", "last", "part", "range")
-                made = {n: pa.array(c, kind) for n, c, kind in zip(names, columns, kinds, strict=True)}
-                yield pa.record_batch({"lang": pa.array([lang] * len(rows), pa.string()), **made})
+        for lang, data in _rows(batches):
+            grams = CountAutomaton.from_bytes(data).grams()
+            own, rows = bounds.get(lang, []), []
+            for i in np.flatnonzero((grams.at[:, 1] > 0) & (grams.weight >= least)).tolist():
+                phrase, a = grams.phrase(i), int(grams.weight[i])
+                key = TAB.join(phrase)
+                for k in range(1, len(phrase)):
+                    for last, part in ((False, phrase[:k]), (True, phrase[k:])):
+                        rows.append((key, len(phrase), a, k, last, TAB.join(part), bisect_right(own, part)))
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32())
+            names = ("phrase", "words", "a", "cut", "last", "part", "range")
+            made = {n: pa.array(c, kind) for n, c, kind in zip(names, columns, kinds, strict=True)}
+            yield pa.record_batch({"lang": pa.array([lang] * len(rows), pa.string()), **made})
 
     columns = "lang string, phrase binary, words int, a long, cut int, last boolean, part binary, range int"
     return automata.select("lang", "automaton").mapInArrow(cut_candidates, columns)
@@ -271,7 +307,14 @@ def collocations(
 ) -> DataFrame:
     """Each language's ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
     read = stage(segments(docs, lang, text), "segments")
-    bounds = range_bounds(read)
+    total, ranges = ranges_of(read)
+    wide = FAN
+    while wide < ranges:
+        groups = max(1, total // (wide * RANGE_GRAMS))
+        read = stage(merged(read, range_bounds(read, wide), groups), "merged")
+        total, ranges = ranges_of(read)
+        wide *= FAN
+    bounds = range_bounds(read, ranges)
     automata = stage(united(read, bounds), "automata")
     parts = stage(candidate_parts(automata, bounds, least), "parts")
     counts = stage(counted_parts(automata, parts), "counted")
