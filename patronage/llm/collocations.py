@@ -40,7 +40,7 @@ from patronage.llm.count_automaton import CountAutomaton, Grams, Phrase, count_g
 FLUSH_WORDS = 1_000_000
 SEGMENT = 131_072
 MARK = 8192
-RANGE_GRAMS = 1_000_000
+RANGE_GRAMS = 800_000
 MOST_RANGES = 200_000
 FAN = 512
 READ = 1 << 20

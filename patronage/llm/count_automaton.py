@@ -153,7 +153,7 @@ class _Register(dict):
             self[None] = before
             numbers = np.array([before])
         else:
-            numbers = np.fromiter(map(self.__getitem__, [data[i:j] for i, j in cuts]), np.int64, len(ends))
+            numbers = np.fromiter(map(self.__getitem__, (data[i:j] for i, j in cuts)), np.int64, len(ends))
         # new numbers rise, so the first state that got one is where the numbers pass all before
         most = np.maximum.accumulate(np.append(before - 1, numbers))
         new = np.flatnonzero(most[1:] > most[:-1])
