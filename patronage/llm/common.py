@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,32 +66,39 @@ def crc_fold(key: Column, folds: int) -> Column:
 
 
 def labelled_sample(
-    rows: DataFrame, docs: DataFrame, key: str, value: str, per_value: int, total: int, salt: str
-) -> list[Row]:
-    """At most ``per_value`` rows (key, value, text) of each value and ``total`` of all.
-
-    ``rows`` are (key, value) without texts.  Those with the least hash of their key are
-    taken.  A share of a few times the bound is cut by the hash alone, by each value's
-    count, so no ranking meets all rows of a frequent value; texts are read last, for the
-    chosen keys only.  A key that repeats counts once, with its least text.
+    rows: DataFrame, docs: DataFrame, key: str, value: str, per_value: int, total: int, digest: Column
+) -> DataFrame:
+    """``rows``, their ``place`` and text: at most ``per_value`` of each value, ``total`` of all.
+
+    ``rows`` hold each (key, value) once, without texts.  Those with the least ``digest``, a
+    64-bit hash of the key, are taken: first all under a hash that leaves little over the bound, by each value's
+    count, then by rank, so no ranking meets all rows of a frequent value.  Texts are read
+    last, for the chosen keys only; a key that repeats counts once, with its least text.
     """
-    digest = F.xxhash64(F.col(key).cast("string"), F.lit(salt))
-    rows = rows.select(key, value).dropna().distinct()
+    rows = stage(rows.dropna(subset=[key, value]), "labelled")
     counts = rows.groupBy(value).agg(F.count("*").alias("_of"))
-    values = max(counts.count(), 1)
-    bound = min(per_value, max(total // values, 1))
-    uniform = F.shiftrightunsigned(digest, 11) / F.lit(float(1 << 53))
-    few = rows.join(counts, value).where(uniform * F.col("_of") < 4 * bound + 64)
+    bound = min(per_value, max(total // max(counts.count(), 1), 1))
+    uniform = digest / F.lit(float(1 << 64)) + 0.5
+    few = rows.join(counts, value).where(uniform * F.col("_of") < bound + 10 * bound**0.5 + 64).drop("_of")
     first = Window.partitionBy(value).orderBy(digest, key)
-    chosen = (
-        few.withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= bound)
-        .select(key, value, "place")
-    )
-    # at most ``total`` keys and as many values, or one a value beyond that
-    texts = docs.select(key, "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), key)
-    found = texts.groupBy(key, value, "place").agg(F.min("text").alias("text"))
-    return found.orderBy("place", value).collect()
+    chosen = few.withColumn("place", F.row_number().over(first)).where(F.col("place") <= bound)
+    on = [key, value] if value in docs.columns else [key]
+    texts = docs.select(*on, "text").where(F.col("text").isNotNull())
+    # at most ``total`` keys, or one a value beyond that
+    found = texts.join(F.broadcast(chosen), on)
+    return found.groupBy(*chosen.columns).agg(F.min("text").alias("text"))
+
+
+def fit_in_task(sample: DataFrame, order: list[str], fit: Callable[[list[dict]], object]) -> object:
+    """What ``fit`` makes of a bounded sample's rows, in order.  The rows meet in one task,
+    which another executor repeats if it is lost; the driver gets the result alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.record_batch({"model": pa.array([pickle.dumps(fit(rows))], pa.binary())})
+
+    made = sample.repartition(1).sortWithinPartitions(*order).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([])
 
 
 def carried(df: DataFrame, order: list[str], value: str, known: Column) -> DataFrame:

@@ -26,9 +26,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from patronage.llm.common import crc_fold, labelled_sample
+from patronage.llm.common import crc_fold, fit_in_task, labelled_sample
 
 PER_LABEL = 2500
 CALIBRATE = 4
@@ -137,8 +137,10 @@ def train(
     marked = labels.where(~held_out(F.col(key))).groupBy(key).agg(F.max(F.col(label).cast("int")).alias(label))
     marked = marked.where(F.col(label).isin(0, 1))
     counts = {r[label]: r["n"] for r in marked.groupBy(label).agg(F.count("*").alias("n")).collect()}
-    sample: list[Row] = labelled_sample(marked, docs, key, label, per_label, 2 * per_label, "compression")
-    return train_model([(r["text"], r[label]) for r in sample], counts)
+    sample = labelled_sample(marked, docs, key, label, per_label, 2 * per_label, F.xxhash64(key, F.lit("compression")))
+    return fit_in_task(
+        sample, ["place", label], lambda rows: train_model([(r["text"], r[label]) for r in rows], counts)
+    )
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -4,11 +4,11 @@ Characters are lower-cased, digits and blanks count as one symbol each, and n-gr
 one to three characters are hashed to ``2**BITS`` features.  Document frequencies are
 counted over all training rows.  The weights are fitted, by follow-the-regularised-leader
 with an elastic net, to at most ``PER_LANGUAGE`` training rows of a language, those of
-``LONGEST`` characters at most with the least hash of their id; one in ``CALIBRATE`` of
-these sets the temperature instead.  Every text is then scored whole.
+``LONGEST`` characters at most with the least hash of their id, and ``TOTAL_ROWS`` in all;
+one in ``CALIBRATE`` of these sets the temperature instead.  Every text is then scored whole.
 
 Defined results: a NULL text or one without a letter is ``und`` with score 0, as is all
-where nothing can be learned; NULL ids count as the empty id; the same text has the same
+where nothing can be learned; NULL ids count as the empty id and teach no weights; the same text has the same
 answer; no rows give none.  Of a row only id, text and, to learn from, language are read.
 """
 
@@ -19,14 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from patronage.llm.common import crc_fold, fit_in_task, labelled_sample
 from patronage.llm.ftrl import Ftrl, Row, scores, softmax, temperature
 
 BITS = 16
 FEATURES = 1 << BITS
 ORDERS = 3
 PER_LANGUAGE = 1200
+TOTAL_ROWS = 60_000
 LONGEST = 20_000
 CALIBRATE = 5
 PASSES = 2
@@ -36,7 +38,7 @@ BLOCK = 1 << 20  # characters of a text looked at together
 
 
 def held_out(key: Column) -> Column:
-    return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % FOLDS == 0
+    return crc_fold(key, FOLDS) == 0
 
 
 def has_letter(text: str | None) -> bool:
@@ -114,26 +116,35 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return frequencies, total
 
 
-def train(rows: DataFrame, key: str, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> LanguageModel:
+def train(
+    rows: DataFrame,
+    key: str,
+    per_language: int = PER_LANGUAGE,
+    longest: int = LONGEST,
+    total_rows: int = TOTAL_ROWS,
+) -> LanguageModel:
     """Learn from (key, text, lang) rows."""
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     frequencies, total = document_frequencies(rows)
     idf = np.log((1.0 + total) / (1.0 + frequencies)) + 1.0
+    short = rows.select(key, "lang", F.length("text").alias("size")).where(F.col("size") <= longest)
     digest = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
-    first = Window.partitionBy("lang").orderBy(digest, "text")
-    sample = (
-        rows.where(F.length("text") <= longest)
-        .withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= per_language)
-        .select("lang", "place", "text")
-        .toPandas()
-        .sort_values(["lang", "place"])
+    sample = labelled_sample(
+        short.select(key, "lang").distinct(), rows, key, "lang", per_language, total_rows, digest
     )
-    sample = sample[np.array([has_letter(t) for t in sample["text"]], bool)]
-    languages = sorted(sample["lang"].unique())
-    labels = np.array([languages.index(x) for x in sample["lang"]], int)
-    features = [tf_idf(t, idf) for t in sample["text"]]
-    aside = sample["place"].to_numpy() % CALIBRATE == 0
+    sample = sample.where(F.length("text") <= longest)
+    return fit_in_task(
+        sample, ["lang", "place"], lambda rows: fit_model([(r["text"], r["lang"], r["place"]) for r in rows], idf)
+    )
+
+
+def fit_model(sample: list[tuple[str, str, int]], idf: np.ndarray) -> LanguageModel:
+    """Learn from (text, language, place) rows; one place in ``CALIBRATE`` sets the temperature."""
+    sample = [r for r in sample if has_letter(r[0])]
+    languages = sorted({lang for _, lang, _ in sample})
+    labels = np.array([languages.index(lang) for _, lang, _ in sample], int)
+    features = [tf_idf(t, idf) for t, _, _ in sample]
+    aside = np.array([place % CALIBRATE == 0 for _, _, place in sample], bool)
     fitting = [f for f, a in zip(features, aside, strict=True) if not a]
     model = Ftrl(FEATURES, max(len(languages), 1)).fit(fitting, labels[~aside], PASSES)
     weights = model.weights()

@@ -13,9 +13,12 @@ are lower-cased and stripped of punctuation.  The threshold weighs, out of fold,
 row flagged as ``FALSE_WEIGHT`` times a toxic row missed.  Every text is scored whole.
 
 Defined results: NULL and empty texts have no words, and are scored by the constants;
-a label of NULL leaves its row out of training; a label repeated for a document counts
-once, as the largest; labels without a document are not used; without positive and
-negative rows all probabilities are 0 and nothing is flagged; no rows give none.
+a label or id of NULL leaves its row out of training; a label repeated for a document
+counts once, as the largest, and a repeated document with its least text; labels without
+a document are not used; without positive and negative rows all probabilities are 0 and
+nothing is flagged; a repeated row has the same scores; a very long text is scored by all
+its words; of a row only id and text are read, and the result has no other columns of it;
+no rows give none.
 """
 
 from __future__ import annotations
@@ -27,8 +30,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from patronage.llm.common import fit_in_task, labelled_sample
 from patronage.llm.ftrl import Ftrl, Row, scores, softmax
 
 PER_VALUE = 2500
@@ -122,6 +126,7 @@ def train(
     categories: Sequence[tuple[str, Column]],
     key: str = "doc_id",
     per_value: int = PER_VALUE,
+    longest: int = LONGEST,
 ) -> ToxicityModel:
     """Learn from documents with labels.
 
@@ -129,17 +134,14 @@ def train(
     """
     names = [name for name, _ in categories]
     marked = labels.groupBy(key).agg(*[F.max(value.cast("int")).alias(name) for name, value in categories])
-    rows = marked.dropna(subset=names).join(docs.select(key, "text"), key)
-    rows = rows.where(F.length("text") <= LONGEST)
-    order = Window.partitionBy(names[-1]).orderBy(F.xxhash64(key), key, "text")
-    sample = (
-        rows.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= per_value)
-        .orderBy("place", names[-1])
-        .select("text", *names)
-        .collect()
+    short = docs.select(key, F.length("text").alias("size")).where(F.col("size") <= longest).select(key)
+    rows = marked.dropna(subset=names).join(short, key, "left_semi")
+    sample = labelled_sample(rows, docs, key, names[-1], per_value, 2 * per_value, F.xxhash64(key))
+    return fit_in_task(
+        sample,
+        ["place", names[-1]],
+        lambda rows: train_chain([(r["text"], [r[n] for n in names]) for r in rows], names),
     )
-    return train_chain([(r["text"], [r[n] for n in names]) for r in sample], names)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", key: str = "doc_id") -> DataFrame:
