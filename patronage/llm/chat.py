@@ -6,14 +6,15 @@ Grammar of a formatted conversation::
     turn         := "### " role "\\n" body "\\n</turn>\\n"
 
 ``### `` and ``</turn>`` are control strings.  In a body one that has backslashes
-directly before it is text, and the parser takes one of them away; one without ends
-the turn.  A turn is first rendered as it is and parsed again; only if the parser does
-not give back exactly that turn, each control string in it gets one more backslash.
-Roles are kept on one line by percent codes.
+directly before it is text, and the parser takes one of them away; a bare one is an
+error, and the parser gives no text for its turn.  A turn is first rendered as it is and
+parsed again; only if the parser does not give back exactly that turn, each control
+string in it gets one more backslash.  Roles are kept on one line by percent codes.
 
 Defined results: NULL text or role counts as empty; turns sort by turn, role and text,
-NULL turn first; rows with NULL conv_id are one conversation; repeated rows are turns
-of their own; no rows give no conversations.  Only the four named columns are read.
+NULL turn first; rows with NULL conv_id are one conversation; repeated rows, and rows
+that tie in all of these, are turns of their own; very long texts are rendered whole; no
+rows give no conversations.  Only the four named columns are read.
 
 A conversation is one value, so all of it meets in one row: the digest of a whole
 conversation has to read it in order.
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HEAD, END = "### ", "</turn>"
 CONTROL = r"(### |</turn>)"
+BARE = r"(?<!\\)" + CONTROL
 TURN_END = r"(?<!\\)</turn>\n"
 LOSS_ROLE = "assistant"
 CODES = (("%", "%25"), ("\n", "%0A"), ("<", "%3C"), ("#", "%23"))
@@ -58,7 +60,7 @@ def parse(formatted: Column) -> Column:
         body = F.substring(piece, F.length(head) + 2, F.length(piece) - F.length(head) - 2)
         return F.struct(
             _decoded(F.substring(head, len(HEAD) + 1, F.length(head))).alias("role"),
-            unescape(body).alias("text"),
+            F.when(~body.rlike(BARE), unescape(body)).alias("text"),
         )
 
     pieces = F.split(formatted, TURN_END)
@@ -78,7 +80,7 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     turns = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
     plain = parse(_render(F.col("role"), F.col("text")))
-    same = (F.size(plain) == 1) & (F.element_at(plain, 1) == F.struct("role", "text"))
+    same = (F.size(plain) == 1) & F.element_at(plain, 1).eqNullSafe(F.struct("role", "text"))
     turns = turns.withColumn("body", F.when(same, F.col("text")).otherwise(escape(F.col("text"))))
     turns = turns.withColumn("piece", _render(F.col("role"), F.col("body")))
 
