@@ -14,9 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from checks.oracle import FINAL, oracle
 from patronage import fixed_values as fv
-from patronage.operators import contacts, funds, generic, giving, lists, quality, segments
+from patronage.operators import (
+    contacts, funds, generic, giving, lists, quality, refresh, segments, years,
+)
 from patronage.operators.generic import PERSON
 from patronage.operators.skew import lookup
+from patronage.operators.stage import materialize
+from patronage.operators.store import StageStore
 from patronage.plans import MailingPlan
 from patronage.policy import CELL_PHONE, ExtractPolicy, GivingPolicy, ProjectionPolicy
 from patronage.sources.retail import retail_warehouse
@@ -96,18 +100,89 @@ def _pick_major(p: MailingPlan) -> DataFrame:
 
 
 def _quality(p: MailingPlan) -> DataFrame:
-    return generic.union_all(
+    own = [
+        quality.Check(
+            p.ledger, "ledger", ["cg_fact_id"], ["gift_fact_id", PERSON, "amount", "fund"]
+        ),
+        quality.Check(p.production_gifts, "production gifts", ["ocpr_dim_id"]),
+        quality.Check(
+            _education_rows(p), "primary education", [PERSON], ["school_type", "date_graduated"]
+        ),
+        quality.Check(p.wh.fund_translation, "fund translation", ["fund_identifier"]),
+    ]
+    return quality.check_all([*own, *p.checks])
+
+
+def _giving_incremental(p: MailingPlan) -> DataFrame:
+    """Giving built without the gifts of the last two years, refreshed when they come in."""
+    spark, late = p.wh.gift.sparkSession, F.col("gift_fiscal_year") >= p.policy.report_year - 1
+    before, state = p.ledger.where(~late), {"ledger": p.ledger.where(~late)}
+
+    def compute(policy: GivingPolicy) -> DataFrame:
+        w = p.wh
+        return giving.giving_per_fiscal_year(
+            state["ledger"], w.constituent, w.gift, w.gift_attribute, w.gift_commitment, w.recurring_gift,
+            w.installment_payment, w.calendar, p.projections, policy,
+        )
+
+    with StageStore(spark) as store:
+        kept = refresh.GivingTable(spark, store.table("giving_by_year"), compute, p.policy.giving)
+        kept.build()
+        state["ledger"] = p.ledger
+        changed = p.ledger.where(late).select("gift_fact_id")
+        touched = refresh.touched_years(
+            p.ledger, changed, _lineage(p), _realized(p), before, p.policy.giving
+        )
+        return materialize(kept.refresh(touched), "giving_by_year", "table")
+
+
+def _extract_from_store(p: MailingPlan) -> DataFrame:
+    """The extract from bucketed stages whose keys are checked as they are written."""
+    with StageStore(p.wh.gift.sparkSession) as store:
+        plan = MailingPlan(p.wh, p.policy, store=store)
+        return materialize(plan.mail_extract, "extract", "table")
+
+
+def _annual(p: MailingPlan) -> DataFrame:
+    """Years of production gifts by what they were."""
+    annual = F.col("is_ag_gift") == fv.YES
+    return years.year_bitmaps(
+        p.production_gifts,
+        [PERSON],
+        {"own_annual": annual & (F.col("is_matching_gift") == fv.NO), "positive": F.col("amount") > 0},
+    )
+
+
+def _year_figures(p: MailingPlan) -> DataFrame:
+    """Distinct years, last years and audience of everybody, from one table of bitmaps."""
+    names = ["own_annual", "positive", "annual", "given"]
+    parts = [
+        _annual(p),
+        years.year_bitmaps(p.annual_years, [PERSON], {"annual": F.lit(True)}),
+        years.year_bitmaps(p.giving, [PERSON], {"given": F.col("amount") > 0}),
+    ]
+    whole = years.unite(
         [
-            quality.violations(
-                p.ledger, "ledger", ["cg_fact_id"], ["gift_fact_id", PERSON, "amount", "fund"]
-            ),
-            quality.violations(p.production_gifts, "production gifts", ["ocpr_dim_id"]),
-            quality.violations(
-                _education_rows(p), "primary education", [PERSON], ["school_type", "date_graduated"]
-            ),
-            quality.violations(p.wh.fund_translation, "fund translation", ["fund_identifier"]),
-            p.violations,
-        ]
+            part.select(PERSON, "word", *[n if n in part.columns else F.lit(0).cast("bigint").alias(n) for n in names])
+            for part in parts
+        ],
+        [PERSON],
+        names,
+    )
+    return whole.groupBy(PERSON).agg(
+        years.count_years("annual").alias("total_years"),
+        years.last_year("own_annual").alias("last_annual_giving_year"),
+        years.last_year("positive", [p.policy.report_year]).alias("last_year_before_report"),
+        years.has_year("given", p.policy.segments.current_years).alias("is_current"),
+    )
+
+
+def _fund_years(p: MailingPlan) -> DataFrame:
+    """Distinct and latest years of each person's gifts to a fund."""
+    keys = [PERSON, "fund_identifier"]
+    bits = years.year_bitmaps(p.production_gifts, keys, {"given": F.col("amount") > 0})
+    return bits.groupBy(*keys).agg(
+        years.count_years("given").alias("total_years"), years.last_year("given").alias("last_year")
     )
 
 
@@ -235,6 +310,12 @@ QUERIES: dict[str, Callable[[MailingPlan], DataFrame]] = {
     "manager_fallback": lambda p: segments.manager_fallback(p.wh.manager),
     "loyalty_years": _loyalty,
     "mail_extract": lambda p: p.mail_extract,
+    # stages, refreshes and sets of years
+    "extract_bucketed": _extract_from_store,
+    "giving_incremental": _giving_incremental,
+    "year_bitmaps": _annual,
+    "year_figures": _year_figures,
+    "fund_years": _fund_years,
     # analysis
     "unsolicitable_funds": _unsolicitable,
     "unmapped_translations": lambda p: funds.unmapped_translations(

@@ -816,6 +816,41 @@ FINAL: dict[str, str] = {
         SELECT t.fund_identifier, t.suggested_fund_identifier FROM w_fund_translation t
         WHERE t.suggested_fund_identifier NOT IN (SELECT designation FROM w_solicitable_fund)""",
 }
+# other ways to the same rows
+FINAL["extract_bucketed"] = FINAL["mail_extract"]
+FINAL["giving_incremental"] = FINAL["giving_per_fiscal_year"]
+
+
+def _years(source: str, condition: str) -> str:
+    return f"""
+        SELECT {P}, CAST(fiscal_year // 64 AS INTEGER) AS word,
+          bit_or(1::BIGINT << (fiscal_year % 64)) AS bits FROM {source} WHERE {condition} GROUP BY ALL"""
+
+
+FINAL["year_bitmaps"] = f"""
+        SELECT {P}, word, coalesce(own.bits, 0) AS own_annual, coalesce(given.bits, 0) AS positive
+        FROM ({_years("s_production_gifts", "is_ag_gift = 'Yes' AND is_matching_gift = 'No'")}) own
+        FULL JOIN ({_years("s_production_gifts", "amount > 0")}) given USING ({P}, word)"""
+FINAL["year_figures"] = f"""
+        SELECT p.{P}, y.n AS total_years, own.latest AS last_annual_giving_year,
+          b.latest AS last_year_before_report,
+          p.{P} IN (SELECT {P} FROM s_giving WHERE amount > 0 AND fiscal_year IN (2017, 2016)) AS is_current
+        FROM (
+          SELECT {P} FROM s_production_gifts WHERE amount > 0
+            OR (is_ag_gift = 'Yes' AND is_matching_gift = 'No')
+          UNION SELECT {P} FROM w_production WHERE {ANNUAL}
+          UNION SELECT {P} FROM s_giving WHERE amount > 0
+        ) p
+        LEFT JOIN (SELECT {P}, count(DISTINCT fiscal_year) AS n FROM w_production
+          WHERE {ANNUAL} GROUP BY {P}) y ON p.{P} = y.{P}
+        LEFT JOIN (SELECT {P}, max(fiscal_year) AS latest FROM s_production_gifts
+          WHERE is_ag_gift = 'Yes' AND is_matching_gift = 'No' GROUP BY {P}) own ON p.{P} = own.{P}
+        LEFT JOIN (SELECT {P}, max(fiscal_year) AS latest FROM s_production_gifts
+          WHERE amount > 0 AND fiscal_year <> 2017 GROUP BY {P}) b ON p.{P} = b.{P}"""
+FINAL["fund_years"] = f"""
+        SELECT {P}, fund_identifier, count(DISTINCT fiscal_year) AS total_years,
+          max(fiscal_year) AS last_year
+        FROM s_production_gifts WHERE amount > 0 GROUP BY {P}, fund_identifier"""
 
 
 def _blocks(text: str) -> list[str]:

@@ -2,10 +2,13 @@
 
 Stages are DataFrames built on first use.  ``stage_mode`` says how the stages
 with several readers are kept (see :func:`patronage.operators.stage.materialize`).
+With a ``store`` they are its tables: stages of persons are bucketed by person, so the
+extract joins them without an exchange, and a stage with a repeated key stops the run.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
@@ -13,9 +16,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..fixed_values import EXTRACT_HEADINGS
 from ..functions import money_text, or_empty
 from ..operators import contacts, funds, giving, lists, quality, segments
-from ..operators.generic import PERSON, pivot_top_n, union_all
+from ..operators.generic import PERSON, pivot_top_n
 from ..operators.skew import lookup, sparse_lookup
 from ..operators.stage import materialize
+from ..operators.store import StageStore
 from ..policy import ExtractPolicy
 from ..sources import Warehouse
 
@@ -28,14 +32,23 @@ class MailingPlan:
         warehouse: Warehouse,
         policy: ExtractPolicy = ExtractPolicy(),
         stage_mode: str = "lazy",
+        store: StageStore | None = None,
     ):
         self.wh = warehouse
+        self.store = store
         self.policy = policy
         self.stage_mode = stage_mode
 
-    def _keep(self, name: str, df: DataFrame) -> DataFrame:
+    def _keep(self, name: str, df: DataFrame, key: Sequence[str] = (), unique: Sequence[str] = ()) -> DataFrame:
+        """``key`` is for stages with few rows a key: a store keeps those in buckets."""
+        if self.store is not None:
+            return self.store.keep(name, df, key, unique or key)
         return materialize(df, name, self.stage_mode)
 
+    def _bucketed(self, name: str, df: DataFrame) -> DataFrame:
+        """One row a person, next to the other stages of persons where there is a store."""
+        return df if self.store is None else self.store.keep(name, df, [PERSON], [PERSON])
+
     # --- giving -----------------------------------------------------------
 
     @cached_property
@@ -70,12 +83,16 @@ class MailingPlan:
                 w.calendar,
                 self.projections,
                 self.policy.giving,
-            )
+            ),
+            [PERSON],
+            [PERSON, "fiscal_year"],
         )
 
     @cached_property
     def annual_years(self) -> DataFrame:
-        return self._keep("annual_years", giving.annual_giving_years(self.wh.production))
+        return self._keep(
+            "annual_years", giving.annual_giving_years(self.wh.production), [PERSON], [PERSON, "fiscal_year"]
+        )
 
     @cached_property
     def solicitable(self) -> DataFrame:
@@ -123,7 +140,8 @@ class MailingPlan:
             "household_list",
             lists.household_list(
                 self.include_list, self.exclude_list, self.wh.constituent, self.spouse_pairs
-            )
+            ),
+            [PERSON],
         )
 
     # --- contacts ---------------------------------------------------------
@@ -135,7 +153,8 @@ class MailingPlan:
             "education",
             contacts.primary_education(
                 w.education, w.constituent, w.education_major, w.education_attribute
-            )
+            ),
+            [PERSON],
         )
 
     @cached_property
@@ -226,7 +245,8 @@ class MailingPlan:
                 self.giving,
                 self.annual_years,
                 self.policy.segments,
-            )
+            ),
+            [PERSON],
         )
 
     @cached_property
@@ -242,8 +262,8 @@ class MailingPlan:
     # --- gates ------------------------------------------------------------
 
     @cached_property
-    def violations(self) -> DataFrame:
-        """Repeated keys of the keyed stages, and of dimensions that lookups rely on."""
+    def checks(self) -> list[quality.Check]:
+        """Keys of the keyed stages, and of dimensions that lookups rely on."""
         w = self.wh
         keyed = [
             (self.giving, "giving", [PERSON, "fiscal_year"]),
@@ -261,7 +281,12 @@ class MailingPlan:
             (w.calendar, "calendar", ["actual_date"]),
             (w.manager, "manager", [PERSON]),
         ]
-        return union_all([quality.violations(df, name, keys) for df, name, keys in keyed])
+        return [quality.Check(df, name, keys) for df, name, keys in keyed]
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        """How many rows repeat each of these keys."""
+        return quality.check_all(self.checks)
 
     # --- extract ----------------------------------------------------------
 
@@ -338,9 +363,9 @@ class MailingPlan:
     @cached_property
     def extract_rows(self) -> DataFrame:
         """The extract before it is sorted."""
-        rows = self._people()
-        for figures in self._figures():
-            rows = lookup(rows, figures, PERSON)
+        rows = self._bucketed("people", self._people())
+        for i, figures in enumerate(self._figures()):
+            rows = lookup(rows, self._bucketed(f"figures_{i}", figures), PERSON)
         blanks = (
             *[f"manager_{i}" for i in (1, 2, 3)],
             "employer",
