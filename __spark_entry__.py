@@ -209,7 +209,7 @@ def _unsolicitable(p: MailingPlan) -> DataFrame:
         p.wh.fund,
         p.wh.fund_attribute,
         p.solicitable,
-        test_segment=fv.SEGMENT_CURRENT,
+        test_segment=p.policy.audit_test_segment,
     )
 
 

@@ -37,19 +37,19 @@ def _status(grace: bool) -> str:
         late = f"""
             WHEN gift_fiscal_year - 1 = {year} AND gift_date >= make_timestamp(fy, 7, 1, 0, 0, 0)
               AND gift_date <= make_timestamp(fy, 7, 21, 0, 0, 0)
-              THEN 'Exclude: {what}, just after year end'"""
-        return f"""CASE WHEN gift_fiscal_year = {year} THEN 'Exclude: {what}, same year'
+              THEN 'Exclude - {what.replace("Realized", "Realize")} made in the following fiscal but up to 7/21'"""
+        return f"""CASE WHEN gift_fiscal_year = {year} THEN 'Exclude - {what} made in the same year as {"Planned Gift" if "Planned" in what else "the pledge"}'
             {late if grace else ""} ELSE 'Include' END"""
 
     return f"""CASE
         WHEN re_gift_type = 'Planned Gift' THEN 'Include'
         WHEN planned_gift_fiscal_year IS NOT NULL
-          THEN {clash("planned_gift_fiscal_year", "realised planned gift")}
+          THEN {clash("planned_gift_fiscal_year", "Realized Planned Gift")}
         WHEN re_gift_type LIKE 'Pay-%' AND fund NOT IN ('11-00100', '12-00200') AND is_credited
-          THEN {clash("pledge_fiscal_year", "pledge payment")}
+          THEN {clash("pledge_fiscal_year", "Pledge Payment")}
         WHEN re_gift_type = 'Recurring Gift Pay-Cash' AND is_credited
-          THEN {clash("pledge_fiscal_year", "recurring payment")}
-        WHEN re_gift_type LIKE 'MG Pay%' THEN {clash("pledge_fiscal_year", "matching payment")}
+          THEN {clash("pledge_fiscal_year", "Recurring Gift Payment")}
+        WHEN re_gift_type LIKE 'MG Pay%' THEN {clash("pledge_fiscal_year", "Matching Gift Payment")}
         ELSE 'Include' END"""
 
 
@@ -164,9 +164,10 @@ def _cascade() -> str:
     ]
     for order, fund, label, people in pairs:
         arms += [_arm(order, fund, label, people), _arm(order, fund, label, people, True)]
-    for level, first, match, own, other in (
+    for level, blanks, first, match, own, other in (
         (
-            "Department",
+            "Dept",
+            "Blank Majors column",
             100,
             "e.school_type_trans = d.college AND e.department = d.degree_department",
             "coalesce(rtrim(d.degree_department), '') <> ''"
@@ -175,6 +176,7 @@ def _cascade() -> str:
         ),
         (
             "College",
+            "Blank Majors column, Blank Dept Column",
             104,
             "e.school_type_trans = d.college",
             *[
@@ -187,12 +189,12 @@ def _cascade() -> str:
         for n in (1, 2):
             order = first + 2 * (n - 1)
             arms.append(f"""SELECT e.{P}, f.fund_identifier, f.fund_description,
-                {order} AS designations_order, '{level} fund {n}' AS data_source
+                {order} AS designations_order, 'Const Pri Degree {level} Fund{n} ({blanks})' AS data_source
                 FROM s_education e JOIN w_department_fund d ON {match}
                 JOIN w_fund f ON d.fund_id{n} = f.fund_identifier WHERE {own}""")
             arms.append(f"""SELECT s.{P}, f.fund_identifier, f.fund_description,
                 {order + 1} AS designations_order,
-                'Spouse {level.lower()} fund {n}' AS data_source
+                'Spouse {"Const " if level == "Dept" else ""}Pri Degree {level} Fund{n} ({blanks})' AS data_source
                 FROM s_education e JOIN w_department_fund d ON {match}
                 JOIN w_fund f ON d.fund_id{n} = f.fund_identifier
                 JOIN w_constituent c ON e.{P} = c.{P}
@@ -500,16 +502,16 @@ STAGES: dict[str, str] = {
     "s_cascade": _cascade(),
     "s_control": f"""
         SELECT p.{P}, f.fund_identifier, f.fund_description, 1 AS designations_order,
-          'Most money' AS data_source
+          'AG fund that were given to most by amount' AS data_source
         FROM s_money p JOIN w_fund f ON p.fund_identifier_trans = f.fund_identifier WHERE p.seq = 1
         UNION ALL
-        SELECT p.{P}, f.fund_identifier, f.fund_description, CAST(p.seq + 1 AS INT), 'Most frequent'
+        SELECT p.{P}, f.fund_identifier, f.fund_description, CAST(p.seq + 1 AS INT), '3 Most AG funds that were given to most frequently'
         FROM s_frequency p JOIN w_fund f ON p.fund_identifier_trans = f.fund_identifier
         WHERE p.seq <= 3
         UNION ALL SELECT * FROM s_cascade""",
     "s_test": f"""
         SELECT p.{P}, f.fund_identifier, f.fund_description,
-          CAST(p.seq AS INT) AS designations_order, 'Most points' AS data_source
+          CAST(p.seq AS INT) AS designations_order, 'First three items for the test fund array' AS data_source
         FROM s_points p JOIN w_fund f ON p.fund_identifier_trans = f.fund_identifier
         WHERE p.seq <= 4
         UNION ALL SELECT * FROM s_cascade""",
@@ -802,10 +804,10 @@ FINAL: dict[str, str] = {
           coalesce(de.attribute_description, '') AS department
         FROM (
           SELECT n.fund_identifier FROM s_control_ranking n JOIN s_segment m ON n.{P} = m.{P}
-          WHERE n.seq <= 10 AND m.marketing_segment <> '16&17DONOR'
+          WHERE n.seq <= 10 AND m.marketing_segment <> 'Test Array'
           UNION
           SELECT n.fund_identifier FROM s_final_ranking n JOIN s_segment m ON n.{P} = m.{P}
-          WHERE n.seq <= 10 AND m.marketing_segment = '16&17DONOR') d
+          WHERE n.seq <= 10 AND m.marketing_segment = 'Test Array') d
         JOIN w_fund f ON d.fund_identifier = f.fund_identifier
         LEFT JOIN w_fund_attribute co ON f.fund_dim_id = co.fund_dim_id
           AND co.attribute_category = 'College'

@@ -184,6 +184,41 @@ FINAL_AUDIENCE_YEARS = (2015, 2016)
 # --- segments and asks ----------------------------------------------------
 CURRENT_YEARS = (2016, 2017)
 LAPSED_BUCKET = "4+ Year Lapsed"
+# Include status of a gift, by what a payment settles: in the promise's own
+# year, and in the window after its year's end.
+STATUS_INCLUDE = "Include"
+STATUS_EXCLUDE_SAME_YEAR = {
+    "planned gift": "Exclude - Realized Planned Gift made in the same year as Planned Gift",
+    "pledge": "Exclude - Pledge Payment made in the same year as the pledge",
+    "recurring gift": "Exclude - Recurring Gift Payment made in the same year as the pledge",
+    "matching gift": "Exclude - Matching Gift Payment made in the same year as the pledge",
+}
+STATUS_EXCLUDE_AFTER_YEAR = {
+    "planned gift": "Exclude - Realize Planned Gift made in the following fiscal but up to 7/21",
+    "pledge": "Exclude - Pledge Payment made in the following fiscal but up to 7/21",
+    "recurring gift": "Exclude - Recurring Gift Payment made in the following fiscal but up to 7/21",
+    "matching gift": "Exclude - Matching Gift Payment made in the following fiscal but up to 7/21",
+}
+# Where a suggestion comes from.
+SOURCE_MOST_MONEY = "AG fund that were given to most by amount"
+SOURCE_MOST_FREQUENT = "3 Most AG funds that were given to most frequently"
+SOURCE_MOST_POINTS = "First three items for the test fund array"
+SOURCE_DEPARTMENT = (
+    "Const Pri Degree Dept Fund1 (Blank Majors column)",
+    "Const Pri Degree Dept Fund2 (Blank Majors column)",
+)
+SOURCE_SPOUSE_DEPARTMENT = (
+    "Spouse Const Pri Degree Dept Fund1 (Blank Majors column)",
+    "Spouse Const Pri Degree Dept Fund2 (Blank Majors column)",
+)
+SOURCE_COLLEGE = (
+    "Const Pri Degree College Fund1 (Blank Majors column, Blank Dept Column)",
+    "Const Pri Degree College Fund2 (Blank Majors column, Blank Dept Column)",
+)
+SOURCE_SPOUSE_COLLEGE = (
+    "Spouse Pri Degree College Fund1 (Blank Majors column, Blank Dept Column)",
+    "Spouse Pri Degree College Fund2 (Blank Majors column, Blank Dept Column)",
+)
 SEGMENT_CURRENT = "16&17DONOR"
 SEGMENT_LAPSED_4PLUS = "4PLUS"
 SEGMENT_LAPSED_ONE_YEAR = "1YRG2-3LAPSED"

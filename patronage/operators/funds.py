@@ -189,7 +189,9 @@ def academic_funds(
     )
     by_college = rules.where(F.col("whole_college") & F.col("any_major"))
 
-    def suggestions(orders: tuple[tuple[int, int], ...], level: str) -> list[Column]:
+    def suggestions(
+        orders: tuple[tuple[int, int], ...], labels: Sequence[str], spouse_labels: Sequence[str]
+    ) -> list[Column]:
         spouse = F.col("spouse_dim_id")
         result = []
         for number, (own, other) in enumerate(orders, start=1):
@@ -198,13 +200,13 @@ def academic_funds(
             result.append(
                 F.when(
                     has_fund & F.col("any_major"),
-                    _suggestion(F.col(PERSON), fund, own, f"{level} fund {number}"),
+                    _suggestion(F.col(PERSON), fund, own, labels[number - 1]),
                 )
             )
             result.append(
                 F.when(
                     has_fund & spouse.isNotNull(),
-                    _suggestion(spouse, fund, other, f"Spouse {level.lower()} fund {number}"),
+                    _suggestion(spouse, fund, other, spouse_labels[number - 1]),
                 )
             )
         return result
@@ -215,8 +217,8 @@ def academic_funds(
     colleges = balanced_lookup(people, by_college, "school_type_trans", "inner", degrees)
     return union_all(
         [
-            _exploded(departments, suggestions(policy.department_orders, "Department")),
-            _exploded(colleges, suggestions(policy.college_orders, "College")),
+            _exploded(departments, suggestions(policy.department_orders, fv.SOURCE_DEPARTMENT, fv.SOURCE_SPOUSE_DEPARTMENT)),
+            _exploded(colleges, suggestions(policy.college_orders, fv.SOURCE_COLLEGE, fv.SOURCE_SPOUSE_COLLEGE)),
         ]
     )
 
@@ -266,11 +268,11 @@ def control_suggestions(
     policy: SuggestionPolicy = SuggestionPolicy(),
 ) -> DataFrame:
     """Biggest fund first, then the most frequent ones, then the cascade."""
-    by_money = _from_ranking(rankings.where(F.col("money_seq") == 1), F.lit(1), "Most money")
+    by_money = _from_ranking(rankings.where(F.col("money_seq") == 1), F.lit(1), fv.SOURCE_MOST_MONEY)
     frequent = _from_ranking(
         rankings.where(F.col("frequency_seq") <= policy.frequent_funds),
         F.col("frequency_seq") + 1,
-        "Most frequent",
+        fv.SOURCE_MOST_FREQUENT,
     )
     return union_all([with_fund(union_all([by_money, frequent]), fund), cascade])
 
@@ -283,7 +285,7 @@ def test_suggestions(
 ) -> DataFrame:
     """Best blended funds first, then the cascade."""
     best = _from_ranking(
-        blend.where(F.col("seq") <= policy.blended_funds), F.col("seq"), "Most points"
+        blend.where(F.col("seq") <= policy.blended_funds), F.col("seq"), fv.SOURCE_MOST_POINTS
     )
     return union_all([with_fund(best, fund), cascade])
 

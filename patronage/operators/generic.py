@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 PERSON = "constituent_dim_id"
 
@@ -34,7 +34,19 @@ def ranked(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], name:
 
 
 def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """Rows of all parts.  Texts take the collation that any part has for them."""
+    collated = {
+        f.name: f.dataType
+        for part in parts
+        for f in part.schema.fields
+        if isinstance(f.dataType, T.StringType) and f.dataType.collation != T.StringType().collation
+    }
+
+    def aligned(part: DataFrame) -> DataFrame:
+        plain = [c for c, kind in collated.items() if part.schema[c].dataType != kind]
+        return part.withColumns({c: F.col(c).cast(collated[c]) for c in plain}) if plain else part
+
+    return reduce(DataFrame.unionByName, [aligned(p) for p in parts])
 
 
 def _keys_once(members: DataFrame, key: str) -> DataFrame:

@@ -21,8 +21,7 @@ from ..policy import GivingPolicy, ProjectionPolicy
 from .generic import PERSON, flag_members, keep_members, pick_one, union_all
 from .skew import balanced_lookup, lookup, sparse_lookup
 
-INCLUDE = "Include"
-EXCLUDE_PREFIX = "Exclude: "
+INCLUDE = fv.STATUS_INCLUDE
 
 LEDGER_COLUMNS = (
     "cg_fact_id",
@@ -286,10 +285,10 @@ def include_status(policy: GivingPolicy = GivingPolicy()) -> Column:
 
     def clash(promise_year: Column, what: str) -> Column:
         return (
-            F.when(own_year == promise_year, f"{EXCLUDE_PREFIX}{what}, same year")
+            F.when(own_year == promise_year, fv.STATUS_EXCLUDE_SAME_YEAR[what])
             .when(
                 in_window & (own_year - 1 == promise_year),
-                f"{EXCLUDE_PREFIX}{what}, just after year end",
+                fv.STATUS_EXCLUDE_AFTER_YEAR[what],
             )
             .otherwise(INCLUDE)
         )
@@ -306,10 +305,10 @@ def include_status(policy: GivingPolicy = GivingPolicy()) -> Column:
     pledge_year = F.col("pledge_fiscal_year")
     return (
         F.when(gift_type == fv.PLANNED_GIFT, INCLUDE)
-        .when(realized, clash(F.col("planned_gift_fiscal_year"), "realised planned gift"))
-        .when(pledge_payment, clash(pledge_year, "pledge payment"))
-        .when(recurring_payment, clash(pledge_year, "recurring payment"))
-        .when(matching_payment, clash(pledge_year, "matching payment"))
+        .when(realized, clash(F.col("planned_gift_fiscal_year"), "planned gift"))
+        .when(pledge_payment, clash(pledge_year, "pledge"))
+        .when(recurring_payment, clash(pledge_year, "recurring gift"))
+        .when(matching_payment, clash(pledge_year, "matching gift"))
         .otherwise(INCLUDE)
     )
 

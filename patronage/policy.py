@@ -148,4 +148,5 @@ class ExtractPolicy:
     prior_year: int = fv.PRIOR_YEAR
     projection_reported_year: int = fv.PROJECTION_REPORTED_YEAR
     appeal_package: str = fv.APPEAL_PACKAGE
+    audit_test_segment: str = fv.SEGMENT_TEST_ARRAY
     last_year_only: bool = False

@@ -1,3 +1,3 @@
-from .warehouse import SCHEMAS, Warehouse, snake_case, write_extract
+from .warehouse import SCHEMAS, Warehouse, normalise, snake_case, write_extract
 
-__all__ = ["SCHEMAS", "Warehouse", "snake_case", "write_extract"]
+__all__ = ["SCHEMAS", "Warehouse", "normalise", "snake_case", "write_extract"]

@@ -149,7 +149,9 @@ VIEWS: dict[str, str] = {
           o_custkey AS constituent_dim_id,
           CASE WHEN o_orderkey % 22 = 0 THEN -5
             WHEN o_orderkey % 11 = 0 THEN (o_orderkey - 11) * 3 + 1 END AS planned_gift_id,
-          {GIFT_DATE} AS gift_date, {GIFT_AMOUNT} AS amount
+          CASE WHEN o_orderkey % 33 = 0 THEN {GIFT_DATE} - INTERVAL 30 YEAR  -- before the calendar
+            ELSE {GIFT_DATE} END AS gift_date,
+          {GIFT_AMOUNT} AS amount
         FROM {{orders}}""",
     "gift_type": f"""
         SELECT gift_type_dim_id,
@@ -191,7 +193,6 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT {DATE_ID} AS date_dim_id, CAST({GIFT_DATE} AS DATE) AS actual_date,
           {GIFT_YEAR} AS fiscal_year
         FROM {{orders}}
-        WHERE {DATE_ID} % 100 <> 31  -- days the calendar lacks
         UNION ALL
         SELECT CAST(19000101 AS INT) AS date_dim_id, CAST('1900-01-01' AS DATE) AS actual_date,
           CAST(1900 AS INT) AS fiscal_year

@@ -118,8 +118,8 @@ def snake_case(name: str) -> str:
     return re.sub(r"_+", "_", name).lower()
 
 
-def normalise(df: DataFrame, collation: str | None = None) -> DataFrame:
-    """Snake-case names and text without trailing blanks.
+def normalise(df: DataFrame, collation: str | None = None, schema: str | None = None) -> DataFrame:
+    """Snake-case names and text without trailing blanks; columns of ``schema`` get its types.
 
     ``collation`` (for instance ``UTF8_LCASE``) makes every later comparison of
     these texts ignore case, as the warehouse's own collation does.
@@ -129,14 +129,20 @@ def normalise(df: DataFrame, collation: str | None = None) -> DataFrame:
         trimmed = F.rtrim(F.col(f"`{c}`"))
         return F.collate(trimmed, collation) if collation else trimmed
 
-    return df.select(
-        *[
-            (text(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")).alias(
-                snake_case(f.name)
-            )
-            for f in df.schema.fields
-        ]
-    )
+    declared = {f.name: f.dataType for f in T.StructType.fromDDL(schema).fields} if schema else {}
+
+    def column(f: T.StructField) -> Column:
+        name, is_text = snake_case(f.name), isinstance(f.dataType, T.StringType)
+        kind = declared.get(name, f.dataType)
+        if isinstance(kind, T.StringType):
+            if not is_text:
+                text_of = F.col(f"`{f.name}`").cast("string")
+                return (F.collate(text_of, collation) if collation else text_of).alias(name)
+            return text(f.name).alias(name)
+        value = F.rtrim(F.col(f"`{f.name}`")) if is_text else F.col(f"`{f.name}`")
+        return (value if kind == f.dataType else value.cast(kind)).alias(name)
+
+    return df.select(*[column(f) for f in df.schema.fields])
 
 
 class Warehouse:
@@ -174,7 +180,7 @@ class Warehouse:
     ) -> Warehouse:
         """Catalog tables; ``names`` maps a logical table to its real name."""
         names = names or {}
-        return cls(lambda name: normalise(spark.table(names.get(name, name)), collation))
+        return cls(lambda name: normalise(spark.table(names.get(name, name)), collation, SCHEMAS[name]))
 
     @classmethod
     def from_files(
@@ -193,7 +199,7 @@ class Warehouse:
             reader = spark.read.format(source).options(**options)
             if source in ("csv", "json"):
                 reader = reader.schema(SCHEMAS[name])
-            return normalise(reader.load(f"{folder}/{names.get(name, name)}"), collation)
+            return normalise(reader.load(f"{folder}/{names.get(name, name)}"), collation, SCHEMAS[name])
 
         return cls(open_table)
 

@@ -5,11 +5,12 @@ from itertools import pairwise
 import pytest
 from pyspark.sql import functions as F
 
+from patronage import fixed_values as fv
 from patronage.operators import giving
 from patronage.operators.generic import PERSON
 from patronage.policy import GivingPolicy, ProjectionPolicy
 
-SAME, LATE = "same year", "just after year end"
+SAME, LATE = fv.STATUS_EXCLUDE_SAME_YEAR, fv.STATUS_EXCLUDE_AFTER_YEAR
 
 STATUS_SCHEMA = (
     "re_gift_type string, fund string, gift_fiscal_year int, gift_date timestamp_ntz, "
@@ -23,30 +24,30 @@ EARLY_JULY = datetime(2014, 7, 10)  # fiscal year 2015, inside the window of 201
 # type, fund, gift FY, date, counted FY, grace, pledge FY, credited, planned FY -> status
 STATUS_CASES = [
     ("Planned Gift", "F", 2016, NOON_2015, 2016, False, 2016, True, 2016, "Include"),
-    ("Cash", "F", 2016, NOON_2015, 2016, False, None, None, 2016, f"realised planned gift, {SAME}"),
+    ("Cash", "F", 2016, NOON_2015, 2016, False, None, None, 2016, SAME["planned gift"]),
     ("Cash", "F", 2016, NOON_2015, 2016, False, None, None, 2015, "Include"),
-    ("Cash", "F", 2015, EARLY_JULY, 2014, True, None, None, 2014, f"realised planned gift, {LATE}"),
+    ("Cash", "F", 2015, EARLY_JULY, 2014, True, None, None, 2014, LATE["planned gift"]),
     ("Cash", "F", 2015, EARLY_JULY, 2015, True, None, None, 2014, "Include"),
     ("Pledge", "F", 2016, NOON_2015, 2016, False, 2016, True, None, "Include"),
     ("Pay-Cash", "11-00100", 2016, NOON_2015, 2016, False, 2016, True, None, "Include"),
-    ("Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2016, True, None, f"pledge payment, {SAME}"),
-    ("Pay-Cash", None, 2016, NOON_2015, 2016, False, 2016, True, None, f"pledge payment, {SAME}"),
+    ("Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2016, True, None, SAME["pledge"]),
+    ("Pay-Cash", None, 2016, NOON_2015, 2016, False, 2016, True, None, SAME["pledge"]),
     ("Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2016, None, None, "Include"),
     ("Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2015, True, None, "Include"),
     ("Pay-Cash", "F", 2016, NOON_2015, 2016, False, None, True, None, "Include"),
-    ("Pay-Cash", "F", 2015, EARLY_JULY, 2014, True, 2014, True, None, f"pledge payment, {LATE}"),
+    ("Pay-Cash", "F", 2015, EARLY_JULY, 2014, True, 2014, True, None, LATE["pledge"]),
     ("Pay-Cash", "F", 2015, EARLY_JULY, 2014, True, 2014, None, None, "Include"),
     ("Pay-Cash", "F", 2015, EARLY_JULY, 2014, True, 2013, True, None, "Include"),
-    ("Pay-Cash", "F", 2015, datetime(2014, 7, 21), 2014, True, 2014, True, None, f"pledge payment, {LATE}"),
+    ("Pay-Cash", "F", 2015, datetime(2014, 7, 21), 2014, True, 2014, True, None, LATE["pledge"]),
     ("Pay-Cash", "F", 2015, datetime(2014, 7, 22), 2014, True, 2014, True, None, "Include"),
     ("Recurring Gift", "F", 2016, NOON_2015, 2016, False, 2016, True, None, "Include"),
     ("Recurring Gift Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2016, None, None, "Include"),
-    ("Recurring Gift Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2016, True, None, f"recurring payment, {SAME}"),
-    ("Recurring Gift Pay-Cash", "F", 2015, EARLY_JULY, 2014, True, 2014, True, None, f"recurring payment, {LATE}"),
+    ("Recurring Gift Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2016, True, None, SAME["recurring gift"]),
+    ("Recurring Gift Pay-Cash", "F", 2015, EARLY_JULY, 2014, True, 2014, True, None, LATE["recurring gift"]),
     ("Recurring Gift Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2015, True, None, "Include"),
     ("MG Pledge", "F", 2016, NOON_2015, 2016, False, 2016, True, None, "Include"),
-    ("MG Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2016, None, None, f"matching payment, {SAME}"),
-    ("MG Pay-Cash", "F", 2015, EARLY_JULY, 2014, True, 2014, None, None, f"matching payment, {LATE}"),
+    ("MG Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2016, None, None, SAME["matching gift"]),
+    ("MG Pay-Cash", "F", 2015, EARLY_JULY, 2014, True, 2014, None, None, LATE["matching gift"]),
     ("MG Pay-Cash", "F", 2016, NOON_2015, 2016, False, 2015, None, None, "Include"),
     ("Other", "F", 2016, NOON_2015, 2016, False, 2016, True, None, "Include"),
 ]
@@ -58,9 +59,7 @@ def test_include_status_branches(spark):
         for t, f, y, d, c, g, p, cr, pl, _ in STATUS_CASES
     ]
     got = spark.createDataFrame(rows, STATUS_SCHEMA).select(giving.include_status().alias("s"))
-    expected = [
-        s if s == giving.INCLUDE else giving.EXCLUDE_PREFIX + s for *_, s in STATUS_CASES
-    ]
+    expected = [s for *_, s in STATUS_CASES]
     assert [r["s"] for r in got.coalesce(1).collect()] == expected
 
 
@@ -298,7 +297,7 @@ def test_lookups_do_not_multiply_ledger_rows(plan):
     assert repeated.count() == 0
     assert {r["status"] for r in counted.select("status").distinct().collect()} >= {
         giving.INCLUDE,
-        f"{giving.EXCLUDE_PREFIX}pledge payment, {SAME}",
+        SAME["pledge"],
     }
 
 
