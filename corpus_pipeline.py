@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences, each stage on all that the one before kept."""
+"""From raw documents to packed sequences, each stage on all that the one before kept.
+
+Defined results, for every stage: NULL and empty texts have no letter, so the first stage
+ends them; NULL or repeated ids, languages and sources are values like others; other columns
+than those of ``documents``, also of names that stages use, are dropped; no rows give none.
+"""
 
 from __future__ import annotations
 
@@ -16,34 +21,43 @@ LEAST_SCORE = 0.3
 ORACLE_SQL = None
 
 
+def row_key(docs: DataFrame) -> Column:
+    """What tells rows apart: id and text.  Sorts by id, rows without one last."""
+    digest = F.when(F.col("text").isNull(), "none").otherwise(F.sha2("text", 256))
+    return F.concat_ws(":", F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("~")), digest)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or that no language is likely for, go."""
+    """Texts without a letter, or that no language is likely for, go.
+
+    Where no row names its language nothing can be learned, and all texts with a letter stay.
+    """
+    docs = docs.select(*COLUMNS)
     model = language_id.train_on_documents(docs)
-    read = language_id.identify_languages(docs.select(*COLUMNS), model)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    read = language_id.identify_languages(docs, model)
     fine = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     return read.where(fine).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts under the limits and outliers of their language and source go."""
-    key = F.xxhash64("doc_id", "text")
-    judged = quality.quality_rules(
-        docs.select("doc_id", "text", "lang", "source", key.alias("row_key")), carry=("row_key",)
-    )
-    kept = judged.where("kept").select("row_key").distinct()
-    return docs.select(*COLUMNS).withColumn("row_key", key).join(kept, "row_key", "left_semi").select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("_row", row_key(docs))
+    judged = quality.quality_rules(docs.select("doc_id", "text", "lang", "source", "_row"), carry=("_row",))
+    kept = judged.where("kept").select("_row").distinct()
+    return docs.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
-    classes = ngram_join.ngram_jaccard_join(docs, count_links=False)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    own = docs.select(*COLUMNS)
-    unnamed = own.where("doc_id IS NULL")
-    kept = own.join(first, "doc_id", "left_semi").unionByName(unnamed)
-    # rows that repeat an id and its text are one document
-    digest = F.sha2("text", 256)
-    return kept.withColumn("_text", digest).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    """Of each group of near duplicates one row stays, the one with the least id.
+
+    A row that repeats an id and its text goes; texts without words are near nothing.
+    """
+    docs = docs.select(*COLUMNS).withColumn("_row", row_key(docs))
+    classes = ngram_join.ngram_jaccard_join(docs, key="_row", count_links=False)
+    first = classes.where(F.col("_row") == F.col("component_id")).select("_row").distinct()
+    return docs.join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
