@@ -76,8 +76,11 @@ def labelled_sample(
     last, for the chosen keys only; a key that repeats counts once, with its least text.
     """
     rows = stage(rows.dropna(subset=[key, value]), "labelled")
-    counts = rows.groupBy(value).agg(F.count("*").alias("_of"))
-    bound = min(per_value, max(total // max(counts.count(), 1), 1))
+    counts = stage(rows.groupBy(value).agg(F.count("*").alias("_of")), "label_counts")
+    values = counts.count()
+    bound = min(per_value, max(total // max(values, 1), 1))
+    # as many values as rows may be sampled are few; a shuffle by value would meet in one task
+    counts = F.broadcast(counts) if values <= total else counts
     uniform = digest / F.lit(float(1 << 64)) + 0.5
     few = rows.join(counts, value).where(uniform * F.col("_of") < bound + 10 * bound**0.5 + 64).drop("_of")
     first = Window.partitionBy(value).orderBy(digest, key)
