@@ -37,10 +37,11 @@ class _Kept:
 
 
 class StageStore:
-    """``buckets``: of each keyed stage, as many as the session's shuffle partitions unless given."""
+    """``buckets``: of each keyed stage, as many as the session's shuffle partitions unless given.
+    ``folder``: one that all executors share, the cluster's own unless given."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, buckets: int | None = None, folder: str | None = None):
+        self.spark, self.folder = spark, folder
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.database = f"stages_{uuid.uuid4().hex}"
         self.written: list[str] = []
@@ -76,7 +77,7 @@ class StageStore:
     def table(self, name: str) -> str:
         """The full name of a table of the store, which is made if need be."""
         if not self._open:
-            folder = shared_folder(self.spark).rstrip("/")
+            folder = (self.folder or shared_folder(self.spark)).rstrip("/")
             self.spark.sql(f"CREATE DATABASE {self.database} LOCATION '{folder}/{self.database}'")
             self._open = True
         return f"{self.database}.{name}"
