@@ -44,7 +44,7 @@ def no_docs(spark):
 
 def connect(data_dir):
     con = duckdb.connect()
-    for name in ("documents", "pages", "conversations"):
+    for name in ("documents", "pages", "conversations", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{data_dir}/{name}.parquet'")
     return con
 
