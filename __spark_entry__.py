@@ -13,18 +13,19 @@ import warnings
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from checks.oracle import FINAL, oracle
 from patronage import fixed_values as fv
 from patronage.operators import (
-    contacts, funds, generic, giving, lists, quality, refresh, segments, years,
+    audit, contacts, funds, generic, giving, lists, quality, refresh, segments, years,
 )
 from patronage.operators.generic import PERSON
-from patronage.operators.skew import lookup
+from patronage.operators.skew import frequent_values, lookup
 from patronage.operators.store import StageStore
 from patronage.plans import MailingPlan
 from patronage.policy import CELL_PHONE, ExtractPolicy, GivingPolicy, ProjectionPolicy
+from patronage.sources.ordered import order_report, read_ordered, write_ordered
 from patronage.sources.retail import retail_warehouse
 
 FLAGSHIP_DIR = "/root/testdata/sf0.001"
@@ -163,6 +164,88 @@ def _extract_from_store(p: MailingPlan) -> DataFrame:
         return _beyond(store, plan.mail_extract, "extract")
 
 
+def _giving_from_windows(p: MailingPlan) -> DataFrame:
+    """Giving with the years as a table of overlapping windows."""
+    w, policy = p.wh, p.policy.giving
+    return giving.giving_per_fiscal_year(
+        p.ledger, w.constituent, w.gift, w.gift_attribute, w.gift_commitment, w.recurring_gift,
+        w.installment_payment, w.calendar, p.projections, policy,
+        giving.counted_windows(w.gift.sparkSession, policy),
+    )
+
+
+def _extract_order_columns() -> dict[str, Column]:
+    return {"id": F.col("constituent_id").cast("bigint"), "text": F.col("constituent_id")}
+
+
+def _ordered_extract(p: MailingPlan) -> str:
+    """The folder of the extract, written in the order of the ids."""
+    path = f"{_folder(p.wh.gift.sparkSession)}/ordered-{uuid.uuid4().hex}"
+    write_ordered(p.extract_rows, path, list(_extract_order_columns().values()))
+    return path
+
+
+def _extract_positions(p: MailingPlan) -> DataFrame:
+    """Each household's place in the files of the extract."""
+    rows = read_ordered(p.wh.gift.sparkSession, _ordered_extract(p))
+    return rows.select("constituent_id", "position")
+
+
+def _extract_order(p: MailingPlan) -> DataFrame:
+    """What the files of the extract hold, and how many rows and files are out of order."""
+    report = order_report(p.wh.gift.sparkSession, _ordered_extract(p), _extract_order_columns())
+    return report.agg(
+        F.sum("rows").alias("rows"),
+        F.sum("misplaced").alias("misplaced"),
+        F.count_if("overlaps").alias("overlapping"),
+    )
+
+
+def _ambiguous(p: MailingPlan) -> DataFrame:
+    """Keys of every pick whose first two rows the rules leave open."""
+    w, policy = p.wh, p.policy.suggestions
+    settled = p.ledger.join(_lineage(p), "gift_fact_id")
+    departments = w.education_attribute.where(F.col("attribute_category") == fv.DEPARTMENT_CATEGORY)
+    by_sequence = {"sequence": F.col("sequence").asc_nulls_first()}
+    by_position = {"best_order": F.col("best_order").asc()}
+    fund = ["fund_identifier", "fund_description"]
+    picks = [
+        (w.education_major, "major", contacts.EDUCATION_KEYS, by_sequence, ["major_code"]),
+        (departments, "department", contacts.EDUCATION_KEYS, by_sequence, ["attribute_description"]),
+        (
+            settled, "payment", [PERSON, "cg_fact_id"],
+            {"amount": F.col("amount").desc_nulls_last()}, ["commitment_gift_fact_id"],
+        ),
+        (
+            funds.best_positions(p.control_suggestions, funds.giving_audience(p.giving, policy.control_years)),
+            "control ranking", [PERSON], by_position, fund,
+        ),
+        (
+            funds.best_positions(p.test_suggestions, funds.giving_audience(p.giving, policy.final_years)),
+            "final ranking", [PERSON], by_position, fund,
+        ),
+    ]
+    return generic.union_all(
+        [
+            audit.ambiguous_picks(df, stage, keys, order, [F.col(v).asc_nulls_last() for v in values], values)
+            for df, stage, keys, order, values in picks
+        ]
+    )
+
+
+def _frequent_keys(p: MailingPlan) -> DataFrame:
+    """Keys of the gift fact and of the ledger that at least 200 rows share."""
+    return generic.union_all(
+        [
+            frequent_values(fact, keys, 200).withColumn("fact", F.lit(name))
+            for name, fact, keys in (
+                ("gift", p.wh.gift, ["fund_dim_id", "appeal_dim_id", "gift_type_dim_id"]),
+                ("ledger", p.ledger, [PERSON, "fund"]),
+            )
+        ]
+    )
+
+
 def _annual(p: MailingPlan) -> DataFrame:
     """Years of production gifts by what they were."""
     annual = F.col("is_ag_gift") == fv.YES
@@ -336,6 +419,12 @@ QUERIES: dict[str, Callable[[MailingPlan], DataFrame]] = {
     "year_bitmaps": _annual,
     "year_figures": _year_figures,
     "fund_years": _fund_years,
+    # windows, ordered files, audits
+    "giving_from_windows": _giving_from_windows,
+    "extract_positions": _extract_positions,
+    "extract_order": _extract_order,
+    "ambiguous_picks": _ambiguous,
+    "frequent_keys": _frequent_keys,
     # analysis
     "unsolicitable_funds": _unsolicitable,
     "unmapped_translations": lambda p: funds.unmapped_translations(

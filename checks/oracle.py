@@ -855,6 +855,69 @@ FINAL["fund_years"] = f"""
         FROM s_production_gifts WHERE amount > 0 GROUP BY {P}, fund_identifier"""
 
 
+FINAL["giving_from_windows"] = FINAL["giving_per_fiscal_year"]
+FINAL["extract_positions"] = f"""
+        SELECT constituent_id, row_number() OVER (ORDER BY CAST(constituent_id AS BIGINT), constituent_id)
+          AS position FROM ({FINAL["mail_extract"]}) x"""
+FINAL["extract_order"] = f"""
+        SELECT CAST(count(*) AS BIGINT) AS rows, CAST(0 AS BIGINT) AS misplaced,
+          CAST(0 AS BIGINT) AS overlapping FROM ({FINAL["mail_extract"]}) x"""
+
+
+def _ambiguous(stage: str, source: str, keys: str, measure: str, direction: str, values: str) -> str:
+    """Pairs of first and second row by a self-join, not by the operator's top two."""
+    key = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys.split(", "))
+    shown = ", ".join(f"coalesce(CAST({v} AS VARCHAR), '')" for v in values.split(", "))
+    order = ", ".join(f"{v} NULLS LAST" for v in values.split(", "))
+    ranked = f"""(SELECT concat_ws('|', {key}) AS key, {measure} AS measure,
+          concat_ws('|', {shown}) AS shown, row_number() OVER (PARTITION BY {keys}
+            ORDER BY {measure} {direction}, {order}) AS place FROM ({source}) s)"""
+    return f"""
+        SELECT '{stage}' AS stage, a.key, a.shown AS picked, b.shown AS other, a.shown <> b.shown AS differ
+        FROM {ranked} a JOIN {ranked} b ON a.key = b.key AND a.place = 1 AND b.place = 2
+          AND a.measure IS NOT DISTINCT FROM b.measure"""
+
+
+def _best(source: str, first: int, last: int) -> str:
+    return f"""
+        SELECT {P}, fund_identifier, fund_description, min(designations_order) AS best FROM {source}
+        WHERE {P} IN (SELECT {P} FROM s_giving WHERE fiscal_year BETWEEN {first} AND {last}) GROUP BY ALL"""
+
+
+_DEGREE = f"{P}, constituent_education_dim_id"
+_FUND = "fund_identifier, fund_description"
+FINAL["ambiguous_picks"] = " UNION ALL ".join(
+    [
+        _ambiguous("major", "SELECT * FROM w_education_major", _DEGREE, "sequence", "NULLS FIRST", "major_code"),
+        _ambiguous(
+            "department",
+            "SELECT * FROM w_education_attribute WHERE attribute_category = 'Degree Department'",
+            _DEGREE, "sequence", "NULLS FIRST", "attribute_description",
+        ),
+        _ambiguous(
+            "payment",
+            f"""SELECT DISTINCT {P}, cg_fact_id, amount, commitment_gift_fact_id FROM s_gift_rows
+                WHERE commitment_gift_fact_id IS NOT NULL""",
+            f"{P}, cg_fact_id", "amount", "DESC NULLS LAST", "commitment_gift_fact_id",
+        ),
+        _ambiguous("control ranking", _best("s_control", 2016, 2017), P, "best", "NULLS FIRST", _FUND),
+        _ambiguous("final ranking", _best("s_test", 2015, 2016), P, "best", "NULLS FIRST", _FUND),
+    ]
+)
+
+
+def _frequent(fact: str, source: str, column: str) -> str:
+    return f"""
+        SELECT '{fact}' AS fact, '{column}' AS column, CAST({column} AS VARCHAR) AS value, count(*) AS rows
+        FROM {source} WHERE {column} IS NOT NULL GROUP BY {column} HAVING count(*) >= 200"""
+
+
+FINAL["frequent_keys"] = " UNION ALL ".join(
+    [_frequent("gift", "w_gift", c) for c in ("fund_dim_id", "appeal_dim_id", "gift_type_dim_id")]
+    + [_frequent("ledger", "s_ledger", c) for c in (P, "fund")]
+)
+
+
 def _blocks(text: str) -> list[str]:
     return [b for b in dict.fromkeys(re.findall(r"\b[sw]_\w+", text)) if b in STAGES]
 

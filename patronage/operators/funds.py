@@ -297,14 +297,19 @@ def giving_audience(giving: DataFrame, years: tuple[int, int]) -> DataFrame:
 
 def dedupe_and_sequence(suggestions: DataFrame, audience: DataFrame) -> DataFrame:
     """Each fund once per person at its best position, renumbered from 1."""
-    best = (
+    best = best_positions(suggestions, audience)
+    return ranked(
+        best, [PERSON], [F.col("best_order"), F.col("fund_identifier"), F.col("fund_description")]
+    ).drop("best_order")
+
+
+def best_positions(suggestions: DataFrame, audience: DataFrame) -> DataFrame:
+    """Each fund once per person of the audience, at its best position."""
+    return (
         keep_members(suggestions, audience)
         .groupBy(PERSON, "fund_identifier", "fund_description")
         .agg(F.min("designations_order").alias("best_order"))
     )
-    return ranked(
-        best, [PERSON], [F.col("best_order"), F.col("fund_identifier"), F.col("fund_description")]
-    ).drop("best_order")
 
 
 # --- analysis -------------------------------------------------------------

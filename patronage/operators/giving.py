@@ -13,13 +13,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions import MONEY, active_individual, fiscal_year, money
 from ..policy import GivingPolicy, ProjectionPolicy
 from .generic import PERSON, flag_members, keep_members, pick_one, union_all
-from .skew import balanced_lookup, lookup, sparse_lookup
+from .intervals import in_effect
+from .skew import HotKeys, balanced_lookup, lookup, sparse_lookup
 
 INCLUDE = fv.STATUS_INCLUDE
 
@@ -359,6 +360,51 @@ def _gift_date_bounds(policy: GivingPolicy) -> Column:
     return keep
 
 
+RECORDED, DATED = "recorded", "dated"
+
+
+def counted_windows(spark: SparkSession, policy: GivingPolicy = GivingPolicy()) -> DataFrame:
+    """The years of a policy as a table of windows, of any length and number.
+
+    ``basis`` tells which point of a gift a window asks for: the fiscal year on record or the
+    gift's date.  A grace window runs on into the year that follows, over that year's own.
+    """
+    start = fv.FISCAL_YEAR_START_MONTH
+
+    def window(basis: str, year: int, in_grace: bool, last: tuple[int, int]) -> Column:
+        bounds = {"counted_from": (year - 1, start, 1), "counted_to": (year, *last)}
+        return F.struct(
+            F.lit(basis).alias("basis"),
+            F.lit(year).alias("counted_year"),
+            F.lit(in_grace).alias("in_grace"),
+            *[F.lit(date(*day)).cast("timestamp_ntz").alias(name) for name, day in bounds.items()],
+        )
+
+    rows = [window(RECORDED, y, False, (start - 1, 1)) for y in policy.strict_years]
+    rows += [window(DATED, y, True, policy.grace_last_counted) for y in policy.grace_years]
+    if not rows:
+        raise ValueError("a policy without years has no windows")
+    return spark.range(1).select(F.explode(F.array(*rows)).alias("w")).select("w.*")
+
+
+def in_counted_windows(ledger: DataFrame, windows: DataFrame) -> DataFrame:
+    """Ledger rows with ``counted_year`` and ``in_grace`` of every window they are in.
+
+    A gift stands on its date, and for its fiscal year on record on a day of that year's last month.
+    """
+    recorded = _day_of(F.col("gift_fiscal_year"), (fv.FISCAL_YEAR_START_MONTH - 1, 1))
+    points = F.array(
+        *[
+            F.struct(F.lit(basis).alias("basis"), at.cast("timestamp_ntz").alias("counted_at"))
+            for basis, at in ((RECORDED, recorded), (DATED, F.col("gift_date")))
+        ]
+    )
+    rows = ledger.withColumn("_point", F.explode(points)).select("*", "_point.*").drop("_point")
+    return in_effect(
+        rows, windows, "counted_at", "counted_from", "counted_to", ["basis"], by=["cg_fact_id"]
+    ).drop("basis", "counted_at", "counted_from", "counted_to")
+
+
 def countable_gifts(
     ledger: DataFrame,
     gift: DataFrame,
@@ -368,13 +414,20 @@ def countable_gifts(
     installment_payment: DataFrame,
     calendar: DataFrame,
     policy: GivingPolicy = GivingPolicy(),
+    windows: DataFrame | None = None,
 ) -> DataFrame:
-    """Ledger rows per counted fiscal year with countable amount and status."""
+    """Ledger rows per counted fiscal year with countable amount and status.
+
+    The years are the policy's, or those of a table like :func:`counted_windows` makes.
+    """
     lineage = settled_commitment(commitment_lineage(installment_payment, gift, calendar))
     realized = realized_planned_gift_date(ledger, gift, gift_attribute, calendar, policy).select(
         "gift_fact_id", "planned_gift_fiscal_year", F.lit(True).alias("is_realized")
     )
-    rows = ledger.where(_gift_date_bounds(policy))
+    if windows is None:
+        rows = ledger.where(_gift_date_bounds(policy))
+    else:
+        rows = in_counted_windows(ledger, windows)
     for side in (
         committed_amounts(gift_commitment),
         scheduled_amounts(recurring_gift),
@@ -383,13 +436,9 @@ def countable_gifts(
     ):
         rows = lookup(rows, side, "gift_fact_id")
     rows = mark_credited(rows, ledger)
-    return (
-        rows.withColumn("year", F.explode(counted_years(policy)))
-        .select("*", "year.*")
-        .drop("year")
-        .withColumn("countable", countable_amount())
-        .withColumn("status", include_status(policy))
-    )
+    if windows is None:
+        rows = rows.withColumn("year", F.explode(counted_years(policy))).select("*", "year.*").drop("year")
+    return rows.withColumn("countable", countable_amount()).withColumn("status", include_status(policy))
 
 
 def mark_credited(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -429,6 +478,7 @@ def giving_per_fiscal_year(
     calendar: DataFrame,
     projections: DataFrame | None = None,
     policy: GivingPolicy = GivingPolicy(),
+    windows: DataFrame | None = None,
 ) -> DataFrame:
     """Countable giving per person and fiscal year, all years in one pass.
 
@@ -445,6 +495,7 @@ def giving_per_fiscal_year(
             installment_payment,
             calendar,
             policy,
+            windows,
         )
         .where(F.col("status") == INCLUDE)
         .select(PERSON, F.col("counted_year").alias("fiscal_year"), F.col("countable").alias("amount"))
@@ -474,7 +525,7 @@ def translate_fund(
     translation: DataFrame,
     column: str = "fund_identifier",
     name: str = "fund_identifier_trans",
-    measure: DataFrame | None = None,
+    measure: DataFrame | HotKeys | None = None,
     by: Sequence[str] | None = None,
 ) -> DataFrame:
     """The fund itself where it can be solicited, else its suggested
@@ -538,15 +589,18 @@ def production_gifts(
     )
     gifts = gift.select("gift_fact_id", "fund_dim_id", "appeal_dim_id")
     row_id = ["ocpr_dim_id"]
-    rows = balanced_lookup(rows, gifts, "gift_fact_id", "inner", by=row_id)
+    # one pass over each fact for all of its keys
+    produced_keys = HotKeys(rows, ["gift_fact_id", "fund_identifier"])
+    gift_keys = HotKeys(gifts, ["fund_dim_id", "appeal_dim_id"])
+    rows = balanced_lookup(rows, gifts, "gift_fact_id", "inner", produced_keys, row_id)
     rows = balanced_lookup(
-        rows, fund.select("fund_dim_id", "is_inactive"), "fund_dim_id", "inner", gift, row_id
+        rows, fund.select("fund_dim_id", "is_inactive"), "fund_dim_id", "inner", gift_keys, row_id
     )
     appeals = appeal.select(
         "appeal_dim_id", "appeal_identifier", F.col("campaign_identifier").alias("appeal_campaign")
     )
-    rows = balanced_lookup(rows, appeals, "appeal_dim_id", "left", gift, row_id)
-    rows = translate_fund(rows, solicitable, translation, measure=production, by=row_id)
+    rows = balanced_lookup(rows, appeals, "appeal_dim_id", "left", gift_keys, row_id)
+    rows = translate_fund(rows, solicitable, translation, measure=produced_keys, by=row_id)
     return rows.select(
         "ocpr_dim_id",
         PERSON,

@@ -21,10 +21,12 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 PARTITION_ROWS = 1_000_000  # rows of one key that a task takes
 SALTS = 32
+SKETCHED = 65_536  # values that the sketch of a column holds at most
+MOST_HOT = 10_000  # hot values of a column that a sketch gives at most
 BROADCAST_DEFAULT = 10 * 1024 * 1024
 
 
@@ -74,6 +76,70 @@ def heavy_hitters(
     )
 
 
+class HotKeys:
+    """The hot values of several columns of a fact, from one scan without a shuffle by value.
+
+    Each task sketches all columns at once (frequent items, at most ``SKETCHED`` values each),
+    and the sketches combine.  A value that holds more than a 1/18,000 of the rows is never
+    missed, and no count is too low; the 10,000 most frequent come back.  A value that is
+    missed is not split, which costs time and no rows.  The scan runs at the first use.
+    """
+
+    def __init__(self, fact: DataFrame, columns: Sequence[str]):
+        self.fact, self.columns = fact, list(columns)
+        self._found: dict[str, list[tuple[object, int]]] | None = None
+
+    def counts(self) -> dict[str, list[tuple[object, int]]]:
+        """The frequent values of each column, with counts that are not too low."""
+        if self._found is None:
+            tops = [
+                F.call_function("approx_top_k", F.col(c), F.lit(MOST_HOT), F.lit(SKETCHED)).alias(c)
+                for c in self.columns
+            ]
+            row = self.fact.agg(*tops).first()
+            self._found = {
+                c: [(top["item"], top["count"]) for top in row[c] if top["item"] is not None] for c in self.columns
+            }
+        return self._found
+
+    def of(self, keys: Sequence[str], partition_rows: int = PARTITION_ROWS) -> DataFrame | None:
+        """Hot keys and their salts, None without any.  Keys of several columns are counted whole."""
+        if len(keys) != 1 or keys[0] not in self.columns:
+            return heavy_hitters(self.fact, keys, partition_rows)
+        hot = [(v, -(-n // partition_rows)) for v, n in self.counts()[keys[0]] if n > partition_rows]
+        if not hot:
+            return None
+        schema = T.StructType(
+            [T.StructField(keys[0], self.fact.schema[keys[0]].dataType), T.StructField("_salts", T.IntegerType())]
+        )
+        # at most MOST_HOT rows
+        return F.broadcast(self.fact.sparkSession.createDataFrame(hot, schema))
+
+
+def frequent_values(fact: DataFrame, columns: Sequence[str], at_least: int) -> DataFrame:
+    """Values with ``at_least`` rows or more: ``column``, ``value`` as text, ``rows``, exact.
+
+    A sketch names the candidates of all columns, a second scan counts those alone.  Whole
+    where ``at_least`` is over a 1/18,000 of the rows and fewer than ``MOST_HOT`` values
+    reach it; raises where it cannot know.
+    """
+    hot = HotKeys(fact, columns)
+    found = {c: [(v, n) for v, n in top if n >= at_least] for c, top in hot.counts().items()}
+    full = [c for c, values in found.items() if len(values) >= MOST_HOT - 1]
+    if full:
+        raise ValueError(f"{MOST_HOT} values or more of {full} have {at_least} rows")
+    marks = []
+    for c, values in found.items():
+        if values:
+            one = F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+            marks.append(F.when(F.col(c).isin([v for v, _ in values]), one))
+    if not marks:
+        none = fact.sparkSession.range(0)
+        return none.selectExpr("'' AS column", "'' AS value", "id AS rows")
+    rows = fact.select(F.explode(F.array_compact(F.array(*marks))).alias("m")).groupBy("m")
+    return rows.agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= at_least).select("m.*", "rows")
+
+
 def _spread(fact: DataFrame, salts: int | Column, by: Sequence[str] | None = None) -> Column:
     """Salt from the row itself, so a recomputed task gives its rows the same salts.
 
@@ -89,7 +155,7 @@ def salted_join(
     side: DataFrame,
     keys: Sequence[str],
     how: str,
-    measure: DataFrame | None = None,
+    measure: DataFrame | HotKeys | None = None,
     by: Sequence[str] | None = None,
     partition_rows: int = PARTITION_ROWS,
 ) -> DataFrame:
@@ -98,7 +164,12 @@ def salted_join(
     Fact rows without a key match nothing and are spread as well.
     """
     keys = list(keys)
-    hot = heavy_hitters(fact if measure is None else measure, keys, partition_rows)
+    if isinstance(measure, HotKeys):
+        hot = measure.of(keys, partition_rows)
+    else:
+        hot = heavy_hitters(fact if measure is None else measure, keys, partition_rows)
+    if hot is None:
+        return sparse_lookup(fact, side, keys, by, SALTS, how)
     named = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_salts")
     unkeyed = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
 
@@ -128,7 +199,7 @@ def balanced_lookup(
     side: DataFrame,
     keys: str | Sequence[str],
     how: str = "left",
-    measure: DataFrame | None = None,
+    measure: DataFrame | HotKeys | None = None,
     by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Join a fact on a key that may be hot to a side read straight from a table.
@@ -137,7 +208,8 @@ def balanced_lookup(
     broadcasts by its own measure, not by a hint.  Beyond the limit the join is salted.
 
     ``measure`` is the table to take the hot keys from when ``fact`` is already a
-    chain of joins; the chain is then not computed a second time for it.
+    chain of joins; the chain is then not computed a second time for it.  Give
+    :class:`HotKeys` for a fact with several such keys: they share one scan.
     """
     if is_small(side):
         return lookup(fact, side, keys, how)
@@ -150,8 +222,9 @@ def sparse_lookup(
     keys: str | Sequence[str],
     by: Sequence[str] | None = None,
     salts: int = SALTS * 8,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join on keys that are NULL on many fact rows.
+    """Join, mostly left, on keys that are NULL on many fact rows.
 
     Keyed rows of both sides get salt 0.  It is written as a remainder of the key
     and not as a literal: a literal would be folded out of the join keys, and the
@@ -162,4 +235,4 @@ def sparse_lookup(
     keyed = F.pmod(F.xxhash64(*keys), F.lit(1)).cast("int")
     left = fact.withColumn("_salt", F.when(unkeyed, _spread(fact, salts, by) + 1).otherwise(keyed))
     right = side.withColumn("_salt", keyed)
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
