@@ -3,9 +3,13 @@
 The statistics of a text become a vector of four logarithms (mean word length, symbols,
 repeated lines and repeated words, each as a share smoothed by ``PRIOR_WORDS`` words of
 the corpus mean).  For every language and source the minimum covariance determinant
-gives a centre and a scatter: start from medians and absolute deviations, then refit to
-the three quarters nearest by Mahalanobis distance, ``STEPS`` times, then once to all
-rows within the 97.5 % bound.  A row whose distance is over ``CUTOFF`` is rejected.
+gives a centre and a scatter.  Three fixed starts take the three quarters nearest the
+medians, by the largest, the summed squared and the summed logarithmic deviation in units
+of the absolute deviations.  From each, ``TRIAL_STEPS`` concentration steps refit to the
+three quarters nearest by Mahalanobis distance; the start whose scatter has the least
+determinant goes on until no group's determinant falls, at most ``MOST_STEPS`` times, and a
+step that does not lower a group's determinant is not taken.  Then the fit is made once to
+all rows within the 97.5 % bound.  A row whose distance is over ``CUTOFF`` is rejected.
 
 Values are whole ten-thousandths and are summed exactly, quantiles are read from
 histograms, so neither the order of rows nor the number of tasks changes a verdict.
@@ -21,6 +25,7 @@ give none.  Only the named columns are read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -34,7 +39,8 @@ MIN_ROWS = 200
 UNIT = 10_000
 # Standard deviations below which a statistic is not taken to vary, in the same units.
 FLOORS = (300, 800, 800, 800)
-STEPS = 4
+TRIAL_STEPS, MOST_STEPS = 2, 20
+LEAST_FALL = 1e-6  # of the logarithm of a determinant, by which a step must lower it
 KEEP = 0.75
 # Fixed values for four dimensions: scale of the scatter of the nearest three quarters,
 # and the 97.5 % and 99.9 % points of chi-square.
@@ -165,11 +171,11 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.join(named, match, "left").drop("_l", "_s")
 
 
-def _estimate(chosen: DataFrame, scale: float) -> DataFrame:
-    """Centre and Cholesky factor of the scatter of each group's chosen rows."""
+def _estimate(chosen: DataFrame, scale: float, keys: Sequence[str] = ("grp",)) -> DataFrame:
+    """Centre, Cholesky factor of the scatter and its log determinant of each group's chosen rows."""
     size = range(len(FLOORS))
     whole = lambda c: c.cast("decimal(19,0)")  # noqa: E731  exact sums at any number of rows
-    sums = chosen.groupBy("grp").agg(
+    sums = chosen.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(whole(F.col(f"x{i}"))).cast("double").alias(f"s{i}") for i in size],
         *[
@@ -193,12 +199,20 @@ def _estimate(chosen: DataFrame, scale: float) -> DataFrame:
             value = F.sqrt(F.greatest(value, least)) if i == j else value / F.col(f"l{j}{j}")
             sums = sums.withColumn(f"l{i}{j}", value)
     names = [f"m{i}" for i in size] + [f"l{i}{j}" for i in size for j in range(i + 1)]
-    return stage(sums.select("grp", *names), "estimates")
+    log_det = reduce(Column.__add__, [2 * F.log(f"l{i}{i}") for i in size])
+    return stage(sums.select(*keys, *names, log_det.alias("log_det")), "estimates")
 
 
-def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+def _least(estimates: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Of each group's estimates the one with the least determinant."""
+    names = [c for c in estimates.columns if c not in ("grp", *order)]
+    first = F.min(F.struct("log_det", *order, *[n for n in names if n != "log_det"])).alias("e")
+    return estimates.groupBy("grp").agg(first).select("grp", *[f"e.{n}" for n in names])
+
+
+def _distances(rows: DataFrame, estimates: DataFrame, keys: Sequence[str] = ("grp",)) -> DataFrame:
     """Add the squared Mahalanobis distance ``d2``; NULL without an estimate."""
-    rows = rows.join(estimates, "grp", "left")
+    rows = rows.join(estimates, list(keys), "left")
     solved: list[str] = []
     for i in range(len(FLOORS)):
         value = F.col(f"x{i}") - F.col(f"m{i}")
@@ -207,17 +221,17 @@ def _distances(rows: DataFrame, estimates: DataFrame) -> DataFrame:
         solved.append(f"y{i}")
         rows = rows.withColumn(f"y{i}", value / F.col(f"l{i}{i}"))
     d2 = sum((F.col(y) * F.col(y) for y in solved[1:]), F.col(solved[0]) * F.col(solved[0]))
-    return rows.withColumn("d2", d2).drop(*solved, *[c for c in estimates.columns if c != "grp"])
+    return rows.withColumn("d2", d2).drop(*solved, *[c for c in estimates.columns if c not in keys])
 
 
-def _nearest(rows: DataFrame, distance: str) -> DataFrame:
+def _nearest(rows: DataFrame, distance: str, keys: Sequence[str] = ("grp",)) -> DataFrame:
     """The ``KEEP`` share of each group that is nearest, and what ties with it.
 
     The bins are an 1/64 of the distance wide.
     """
     binned = rows.withColumn("bin", F.floor(64 * F.log(F.col(distance) + 1e-3)))
-    cut = _quantile_bin(binned, ["grp"], "bin", KEEP).withColumnRenamed("bin", "cut")
-    return binned.join(cut, "grp").where("bin <= cut").drop("bin", "cut", distance)
+    cut = _quantile_bin(binned, keys, "bin", KEEP).withColumnRenamed("bin", "cut")
+    return binned.join(cut, list(keys)).where("bin <= cut").drop("bin", "cut", distance)
 
 
 def robust_estimates(rows: DataFrame) -> DataFrame:
@@ -238,11 +252,25 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
         F.abs(F.col(f"x{i}") - F.col(f"mid{i}")) / F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(FLOORS[i]))
         for i in size
     ]
-    begun = rows.join(stage(start, "starts"), "grp").withColumn("far", F.greatest(*apart))
-    estimates = _estimate(_nearest(begun, "far"), CONSISTENCY)
-    for _ in range(STEPS):
-        estimates = _estimate(_nearest(_distances(rows, estimates), "d2"), CONSISTENCY)
-    return _estimate(_distances(rows, estimates).where(F.col("d2") <= REWEIGHT), 1.0)
+    total = lambda parts: reduce(Column.__add__, parts)
+    ways = [F.greatest(*apart), total([z * z for z in apart]), total([F.log1p(z * z) for z in apart])]
+    trial = F.explode(F.array(*[F.struct(F.lit(i).alias("start"), w.alias("far")) for i, w in enumerate(ways)]))
+    vector = [f"x{i}" for i in size]
+    each = ("grp", "start")
+    begun = rows.join(stage(start, "starts"), "grp").select("grp", *vector, trial.alias("t")).select("grp", *vector, "t.*")
+    estimates = _estimate(_nearest(begun, "far", each), CONSISTENCY, each)
+    tried = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(len(ways) - 1))))
+    for _ in range(TRIAL_STEPS):
+        estimates = _estimate(_nearest(_distances(tried, estimates, each), "d2", each), CONSISTENCY, each)
+    best = stage(_least(estimates, ["start"]), "least")
+    for _ in range(MOST_STEPS):
+        step = _estimate(_nearest(_distances(rows, best), "d2"), CONSISTENCY)
+        before = best.select("grp", F.col("log_det").alias("_before"))
+        fallen = step.join(before, "grp").where(F.col("log_det") < F.col("_before") - LEAST_FALL).drop("_before")
+        if fallen.isEmpty():
+            break
+        best = stage(_least(best.unionByName(fallen), []), "least")
+    return _estimate(_distances(rows, best).where(F.col("d2") <= REWEIGHT), 1.0)
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
