@@ -18,7 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from patronage.llm.common import ascii_lower, carried
+from patronage.llm.common import ascii_lower, carried, stage
+from patronage.operators.skew import salted_join
 
 CUT = "\u0001"
 DEFAULT_VERDICT = "allow"
@@ -105,25 +106,27 @@ def judge_urls(
     names = ("host", "path", "rule", "verdict")
     rows = urls.withColumn("_h", host).withColumn("_p", path)
     rows = rows.drop(*[c for c in names if c in urls.columns])
+    # judged once for each key, however many hosts of a domain share it
     distinct = rows.select("_h", "_p").where(F.col("_h") != "").distinct()
-    endings = (
+    endings = stage(
         distinct.withColumn("labels", _labels(F.col("_h")))
         .withColumn("n", F.explode(F.expr(f"sequence(1, least(size(labels), {max(deepest, 1)}))")))
         .select("_h", "_p", F.array_join(F.expr("slice(labels, 1, n)"), ".").alias("home"))
         .join(rules.select("home").distinct(), "home", "left_semi")
-        .select("_h", "_p", _key(F.col("home"), F.col("_p")).alias("key"), F.lit(1).alias("is_url"))
+        .select("_h", "_p", _key(F.col("home"), F.col("_p")).alias("key")),
+        "endings",
     )
+    keys = endings.select("key", F.lit(1).alias("is_url")).distinct()
     swept = carried(
-        endings.unionByName(_interval_ends(rules), allowMissingColumns=True),
+        keys.unionByName(_interval_ends(rules), allowMissingColumns=True),
         ["key", "is_url"],
         "open",
         F.col("is_url") == 0,
     )
-    best = (
-        swept.where("is_url = 1 AND size(open) > 0")
-        .groupBy("_h", "_p")
-        .agg(F.max(F.element_at("open", -1)).alias("best"))
-    )
+    longest = swept.where("is_url = 1 AND size(open) > 0").select("key", F.element_at("open", -1).alias("best"))
+    # keys that very many hosts share, such as front pages, are salted
+    fitting = salted_join(endings, longest, ["key"], "inner", by=["_h"])
+    best = fitting.groupBy("_h", "_p").agg(F.max("best").alias("best"))
     return (
         rows.join(best, ["_h", "_p"], "left")
         .withColumn("rule", F.col("best.rule"))
