@@ -263,11 +263,14 @@ class PieceTransducer:
         order = np.argsort(owner, kind="stable")
         return np.bincount(owner, minlength=len(pieces)), tokens[order]
 
-    def transitions(self, keys: np.ndarray, sample: Callable[[np.ndarray], list[bytes]]) -> np.ndarray:
+    def transitions(
+        self, keys: np.ndarray, checks: np.ndarray, sample: Callable[[np.ndarray], list[bytes]]
+    ) -> np.ndarray:
         """Slots of the transitions for ascending distinct piece keys.
 
         ``sample`` gives the pieces themselves for places in ``keys``; it is asked for
-        those without a transition only.
+        those without a transition only.  A key that is held with another check belongs to
+        another piece: such pieces are compiled one by one, and told apart by their bytes.
         """
         if len(self.known) > CACHE_ENTRIES:
             self._forget()
@@ -282,11 +285,28 @@ class PieceTransducer:
             self.tokens = np.append(self.tokens, tokens.astype(np.uint32))
             self.known = np.insert(self.known, at[new], keys[new])
             self.slot = np.insert(self.slot, at[new], slots)
+            self.checks = np.append(self.checks, checks[new])
             at = np.searchsorted(self.known, keys)
-        return self.slot[at]
+        slots = self.slot[at]
+        odd = np.flatnonzero(self.checks[slots] != checks)
+        if len(odd):
+            slots[odd] = [self.clashing(piece) for piece in sample(odd)]
+        return slots
+
+    def clashing(self, piece: bytes) -> int:
+        """The slot of a piece whose key is another piece's."""
+        if piece not in self.clashes:
+            counts, tokens = self._emitted([piece])
+            self.clashes[piece] = len(self.counts)
+            self.offsets = np.append(self.offsets, len(self.tokens))
+            self.counts = np.append(self.counts, counts)
+            self.tokens = np.append(self.tokens, tokens.astype(np.uint32))
+            self.checks = np.append(self.checks, np.uint64(0))
+        return self.clashes[piece]
 
     def _forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.clashes: dict[bytes, int] = {}
         self.slot, self.counts, self.offsets = (np.zeros(0, np.int64) for _ in range(3))
         self.tokens = np.zeros(0, np.uint32)
 
@@ -322,8 +342,9 @@ def _byte_symbols() -> bytes:
     return symbol_table()[:256].tobytes()
 
 
-def _piece_keys(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit keys of pieces: up to seven bytes as they are, longer ones mixed."""
+def _piece_keys(data: bytes, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of pieces, up to seven bytes as they are, longer ones mixed; and a check
+    of 64 other bits for the longer ones."""
     padded = np.frombuffer(data + bytes(16), np.uint8)
     words = np.lib.stride_tricks.as_strided(
         padded[:8].view("<u8"), shape=(len(data) + 8,), strides=(1,), writeable=False
@@ -332,8 +353,9 @@ def _piece_keys(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
     key = words[at] & MASKS[left]
     short = size < 8
     key[short] |= size[short].astype(np.uint64) << np.uint64(56)
-    rest = np.flatnonzero(~short)
+    rest, check = np.flatnonzero(~short), np.zeros(len(at), np.uint64)
     if len(rest):
+        other = _mix(~key[rest])
         mixed, where, left = key[rest] ^ size[rest].astype(np.uint64), at[rest] + 8, size[rest] - 8
         mixed = _mix(mixed)
         while True:
@@ -342,9 +364,10 @@ def _piece_keys(data: bytes, at: np.ndarray, size: np.ndarray) -> np.ndarray:
                 break
             part = words[where[more]] & MASKS[np.minimum(left[more], 8)]
             mixed[more] = _mix(mixed[more] * np.uint64(0xD6E8FEB86659FD93) ^ part)
+            other[more] = _mix(other[more] * np.uint64(0xA0761D6478BD642F) + part)
             where, left = where + 8, left - 8
-        key[rest] = mixed | np.uint64(0xFF << 56)
-    return key
+        key[rest], check[rest] = mixed | np.uint64(0xFF << 56), other
+    return key, check
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -377,16 +400,17 @@ def _read(segments: list[str], fst: PieceTransducer) -> tuple[np.ndarray, np.nda
     keep = np.ones(len(at), bool)
     keep[markers] = False
     at, size = at[keep], size[keep]
-    keys, first, inverse = np.unique(
-        _piece_keys(data, at, size), return_index=True, return_inverse=True
-    )
+    keys, checks = _piece_keys(data, at, size)
+    keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
 
     def sample(places: np.ndarray) -> list[bytes]:
         begin = at[first[places]]
         end = begin + size[first[places]]
         return [data[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
 
-    slots = fst.transitions(keys, sample)[inverse]
+    slots = fst.transitions(keys, checks[first], sample)[inverse]
+    for i in np.flatnonzero(checks[first][inverse] != checks).tolist():
+        slots[i] = fst.clashing(data[at[i] : at[i] + size[i]])
     return slots, np.diff(np.concatenate([[-1], markers])) - 1
 
 
