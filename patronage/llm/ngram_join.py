@@ -1,9 +1,10 @@
 """N-gram Jaccard join: candidate pairs of narrow columns, verified, and a blocked sparse
 product of documents by n-gram incidence for wide ones.
 
-Rows of the incidence matrix are the distinct sets; equal sets are one row.  A set is
-kept as 64-bit hashes of its shingles, and columns are ordered by how many sampled rows
-have them, then by hash.
+Rows of the incidence matrix are the distinct sets; equal sets are one row.  Sets are
+numbered by half of a 128-bit digest; the other half tells sets of one number apart, which
+are then numbered anew.  A set is kept as 64-bit hashes of its shingles, and columns are
+ordered by how many sampled rows have them, then by hash.
 
 *Sample*: a row's ``SKETCH`` least hashes.  Of two sets at the threshold, each of the
 union's least hashes is in both with the threshold's chance, so two samples share fewer
@@ -43,6 +44,7 @@ least id that is not NULL; no rows give none.  Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -123,9 +125,10 @@ FLIPS, FACTORS = np.array(
 ).T.copy()
 
 
-def set_id(members: np.ndarray) -> int:
-    """A signed 64-bit digest of a whole set."""
-    return xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63)
+def set_digest(members: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Two signed 64-bit halves of a digest of a whole set; of the first, ``bits`` bits."""
+    first, second = divmod(xxhash.xxh3_128_intdigest(members.tobytes()), 1 << 64)
+    return first % (1 << bits) - (1 << 63), second - (1 << 63)
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -138,18 +141,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key``, n_shingles, set_id (a digest of the whole set) and the sampled hashes."""
+def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", bits: int = 64) -> DataFrame:
+    """``key``, n_shingles, set_id and check (a digest of the whole set) and the sampled hashes."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
             sets = [shingles.of(t) for t in batch.column("text").to_pylist()]
+            digests = [set_digest(s, bits) for s in sets]
             yield pa.record_batch(
                 {
                     "k": batch.column("k"),
                     "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                    "set_id": pa.array([set_id(s) for s in sets], pa.int64()),
+                    "set_id": pa.array([d[0] for d in digests], pa.int64()),
+                    "check": pa.array([d[1] for d in digests], pa.int64()),
                     "sketch": _lists([s[:SKETCH] for s in sets]),
                 }
                 | dict(zip(SIGNS, _signed(np.array([signature(s) for s in sets]).reshape(-1, len(SIGNS)).T.copy()), strict=True))
@@ -157,30 +162,59 @@ def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    schema = f"k {kind}, n_shingles long, set_id long, sketch array<long>, " + ", ".join(f"{s} long" for s in SIGNS)
+    schema = f"k {kind}, n_shingles long, set_id long, check long, sketch array<long>, " + ", ".join(f"{s} long" for s in SIGNS)
     return rows.mapInArrow(read, schema).withColumnRenamed("k", key)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, key_sets: DataFrame, key: str) -> DataFrame:
+@dataclass
+class Corpus:
+    """Texts, the set of each row, and the sets that are not numbered by their digest."""
+
+    docs: DataFrame
+    key: str
+    key_sets: DataFrame
+    renumbered: DataFrame | None
+    bits: int
+
+
+def _distinct_sets(read: DataFrame, key: str) -> DataFrame:
+    """A row for each number, with the least and the greatest check that go by it."""
+    return read.where("n_shingles > 0").groupBy("set_id").agg(
+        F.min(key).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
+        F.min("check").alias("low"), F.max("check").alias("high"), *[F.first(s).alias(s) for s in SIGNS],
+    )
+
+
+def _renumber(rows: DataFrame, renumbered: DataFrame | None) -> DataFrame:
+    """Rows with a set_id and a check, by the number of their own."""
+    if renumbered is None:
+        return rows
+    found = rows.join(renumbered, ["set_id", "check"], "left")
+    return found.withColumn("set_id", F.coalesce("own", "set_id")).select(*rows.columns)
+
+
+def _sets(wanted: DataFrame, corpus: Corpus) -> DataFrame:
     """(set_id, members) of the wanted sets, made again from one text of each.
 
     Only the texts that some candidate pair needs are read a second time.
     """
-    ids = wanted.join(key_sets, "set_id").groupBy("set_id").agg(F.min(key).alias("k"))
+    key, bits = corpus.key, corpus.bits
+    ids = wanted.join(corpus.key_sets, "set_id").groupBy("set_id").agg(F.min(key).alias("k"))
     # NULL ids find each other too
-    texts = docs.join(ids.select("k").distinct(), F.col(key).eqNullSafe(F.col("k")), "left_semi")
+    texts = corpus.docs.join(ids.select("k").distinct(), F.col(key).eqNullSafe(F.col("k")), "left_semi")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
             sets = [shingles.of(t) for t in batch.column("text").to_pylist()]
+            digests = np.array([set_digest(s, bits) for s in sets], np.int64).reshape(-1, 2)
             yield pa.record_batch(
-                {"set_id": pa.array([set_id(s) for s in sets], pa.int64()), "members": _lists(sets)}
+                {"set_id": pa.array(digests[:, 0]), "check": pa.array(digests[:, 1]), "members": _lists(sets)}
             )
 
-    made = texts.select("text").mapInArrow(read, "set_id long, members array<long>")
+    made = texts.select("text").mapInArrow(read, "set_id long, check long, members array<long>")
     # several rows may carry one id; the digest tells whose set it is
-    return made.groupBy("set_id").agg(F.first("members").alias("members"))
+    return _renumber(made, corpus.renumbered).groupBy("set_id").agg(F.first("members").alias("members"))
 
 
 def _can_reach(percent: int) -> Column:
@@ -222,29 +256,37 @@ def entries(rows: DataFrame) -> DataFrame:
 
 
 def ngram_jaccard_join(
-    docs: DataFrame, percent: int = PERCENT, text: str = "text", key: str = "doc_id", count_links: bool = True
+    docs: DataFrame,
+    percent: int = PERCENT,
+    text: str = "text",
+    key: str = "doc_id",
+    count_links: bool = True,
+    bits: int = 64,
 ) -> DataFrame:
     """``key``, n_shingles, set_id, component_id of every row, and n_links of its set.
 
     ``n_links`` counts all other sets that reach the threshold with the row's set; without
-    ``count_links`` there is no such column.
+    ``count_links`` there is no such column.  Sets are numbered by ``bits`` bits of their digest.
     """
     if percent < PERCENT:
         raise ValueError(f"the sample's bounds hold for {PERCENT} % and more")
     docs = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text"))
-    read = stage(sketches(docs, "text", key), "sketches")
-    key_sets = read.select(key, "set_id")
-    sets = read.where("n_shingles > 0").groupBy("set_id").agg(
-        F.min(key).alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
-        *[F.first(s).alias(s) for s in SIGNS],
-    )
-    sets = stage(sets, "sets")
+    read = stage(sketches(docs, "text", key, bits), "sketches")
+    sets = stage(_distinct_sets(read, key), "sets")
+    clashing, renumbered = sets.where("low <> high").select("set_id"), None
+    if not clashing.isEmpty():
+        own = F.xxhash64("set_id", "check").alias("own")
+        renumbered = read.join(clashing, "set_id", "left_semi").where("n_shingles > 0").select("set_id", "check", own)
+        renumbered = stage(renumbered.distinct(), "renumbered")
+        read = stage(_renumber(read, renumbered), "sketches")
+        sets = stage(_distinct_sets(read, key), "sets")
+    corpus = Corpus(docs, key, read.select(key, "set_id"), renumbered, bits)
     held = entries(sets)
 
     signs = sets.select("set_id", *SIGNS)
     held = stage(held.join(signs, "set_id"), "signed_entries")
     tried = stage(_meet(held.withColumn("label", F.col("set_id")), F.col("set_id"), percent), "stars")
-    links = stage(_checked(tried, docs, key_sets, key, percent), "links")
+    links = stage(_checked(tried, corpus, percent), "links")
     labels = components(links)
 
     turn, before = 0, None
@@ -257,16 +299,16 @@ def ngram_jaccard_join(
         turn, before = turn + 1, pairs_left
         hub = F.xxhash64("set_id", F.pmod(F.xxhash64("gram"), F.lit(HUBS)), F.lit(turn))
         met = stage(_meet(open_, hub, percent).join(tried, ["a", "b"], "left_anti"), "met")
-        links = stage(links.unionByName(_checked(met, docs, key_sets, key, percent)), "links")
+        links = stage(links.unionByName(_checked(met, corpus, percent)), "links")
         tried = tried.unionByName(met)
         labels = components(links)
 
     rows_held = open_.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
     wide = open_.join(rows_held.where(F.col("rows") > WIDE), "gram")
-    dense = _block_links(stage(wide, "wide_columns"), docs, key_sets, key, percent)
+    dense = _block_links(stage(wide, "wide_columns"), corpus, percent)
     open_ = open_.join(rows_held.where(F.col("rows") <= WIDE).select("gram"), "gram", "left_semi")
     across = stage(_pairs(open_, percent).join(tried, ["a", "b"], "left_anti"), "across")
-    links = links.unionByName(dense).unionByName(_checked(across, docs, key_sets, key, percent))
+    links = links.unionByName(dense).unionByName(_checked(across, corpus, percent))
     links = stage(links.distinct(), "all_links")
     labels = components(links)
 
@@ -287,12 +329,13 @@ def ngram_jaccard_join(
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"),
     ]
     if count_links:
-        out = out.join(link_counts(held, docs, key_sets, key, percent), "set_id", "left")
-        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        out = out.join(link_counts(held, corpus, percent), "set_id", "left")
+        counted = F.when(F.col("n_shingles") > 0, F.col("n_links"))
+        columns.append(F.coalesce(counted, F.lit(0)).cast("long").alias("n_links"))
     return out.select(*columns)
 
 
-def link_counts(held: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str, percent: int) -> DataFrame:
+def link_counts(held: DataFrame, corpus: Corpus, percent: int) -> DataFrame:
     """(set_id, n_links): with how many other sets each set of the entries reaches the threshold.
 
     Two rows that are in blocks which meet are counted there; the pairs of narrow columns
@@ -301,7 +344,7 @@ def link_counts(held: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str,
     held = held.withColumn("label", F.col("set_id"))  # every two sets are apart
     rows_held = held.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"))
     wide = stage(held.join(rows_held.where(F.col("rows") > WIDE), "gram"), "wide_columns")
-    rows, meeting, full = _blocks(wide, docs, key_sets, key, percent)
+    rows, meeting, full = _blocks(wide, corpus, percent)
     dense = full.groupBy("x", "y").applyInPandas(
         lambda frame: _counted(_product(frame, percent)), "set_id long, n_links long"
     )
@@ -313,7 +356,7 @@ def link_counts(held: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str,
     both = F.col("p").isNotNull() & F.col("q").isNotNull()
     known = meeting.select("x", "y", F.lit(True).alias("known"))
     left = placed.join(known, ["x", "y"], "left").where(~(both & F.coalesce("known", F.lit(False)))).select("a", "b")
-    links = _checked(stage(left, "narrow_pairs"), docs, key_sets, key, percent)
+    links = _checked(stage(left, "narrow_pairs"), corpus, percent)
     ends = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
     return stage(dense.unionByName(ends).groupBy("set_id").agg(F.sum("n_links").alias("n_links")), "n_links")
 
@@ -373,15 +416,15 @@ def _across(open_: DataFrame) -> tuple[int, float]:
     return total["all"] or 0, total["pairs"] or 0.0
 
 
-def _block_links(wide: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str, percent: int) -> DataFrame:
+def _block_links(wide: DataFrame, corpus: Corpus, percent: int) -> DataFrame:
     """Links (a, b) across components of rows that share one of the wide columns."""
-    _, _, full = _blocks(wide, docs, key_sets, key, percent)
+    _, _, full = _blocks(wide, corpus, percent)
     found = full.groupBy("x", "y").applyInPandas(lambda frame: _product(frame, percent), "a long, b long")
     return stage(found, "dense_links")
 
 
 def _blocks(
-    wide: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str, percent: int
+    wide: DataFrame, corpus: Corpus, percent: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The rows with their blocks, the blocks that meet, and the whole sets that may link there."""
     # a row's block is a part of the rows that have the same widest column
@@ -406,7 +449,7 @@ def _blocks(
         lambda frame: _may_link(frame, percent), "x long, y long, set_id long"
     )
     near = stage(near, "near_rows")
-    sets = stage(_sets(docs, near.select("set_id").distinct(), key_sets, key), "members")
+    sets = stage(_sets(near.select("set_id").distinct(), corpus), "members")
     full = near.join(rows.select("set_id", "label", "block"), "set_id").join(sets, "set_id")
     return rows, meeting, full
 
@@ -459,9 +502,9 @@ def _product(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, key_sets: DataFrame, key: str, percent: int) -> DataFrame:
+def _checked(pairs: DataFrame, corpus: Corpus, percent: int) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
-    return _verify(pairs, stage(_sets(docs, wanted, key_sets, key), "members"), percent)
+    return _verify(pairs, stage(_sets(wanted, corpus), "members"), percent)
 
 
 __all__ = ["Shingles", "entries", "ngram_jaccard_join", "sketches"]

@@ -1,12 +1,14 @@
-"""Robust estimates against plain numpy, and pieces whose short hashes collide."""
+"""Robust estimates against plain numpy; pieces and sets whose short hashes collide."""
 
 import math
+import random
 
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from patronage.llm import quality, token_fst, url_rules
+from patronage.llm.ngram_join import ngram_jaccard_join
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -121,3 +123,24 @@ def test_hosts_that_share_a_key_are_judged_each(spark):
     assert len(got) == len(urls)
     for r in got:
         assert (r["rule"], r["verdict"]) == (("h2.com/", "allow") if r["host"].endswith("h2.com") else ("com/", "block"))
+
+
+def test_sets_of_one_number_are_told_apart(spark):
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(60)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + i, base[i]) for i in range(0, 30, 3)]  # copies
+    rows += [(200 + i, base[i] + " tail") for i in range(0, 30, 2)]  # near copies
+    rows += [(300, None), (301, ""), (302, "two words"), (303, "TWO words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    # three bits number at most eight sets, so nearly every number is several sets'
+    short = {r["doc_id"]: r for r in ngram_jaccard_join(docs, bits=3).collect()}
+    whole = {r["doc_id"]: r for r in ngram_jaccard_join(docs).collect()}
+    assert len(short) == len(rows)
+    for doc, row in whole.items():
+        assert all(short[doc][c] == row[c] for c in ("n_shingles", "component_id", "n_links")), doc
+    for i in range(30):
+        assert short[i]["component_id"] == i and short[i]["n_links"] == (1 if i % 2 == 0 else 0)
+        if i % 2 == 0:
+            assert short[200 + i]["component_id"] == i
+    assert short[303]["component_id"] == 302 and short[300]["component_id"] == 300
