@@ -248,7 +248,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataF
         "length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
     among = Window.partitionBy("length", "block").orderBy(key, "piece", "ids_crc32", "start")
-    ranked = cut.withColumn("rank", F.row_number().over(among)).join(first, ["length", "block"])
+    # up to BLOCKS rows a length: no broadcast, the ranks are dealt by these keys already
+    ranked = cut.withColumn("rank", F.row_number().over(among)).join(first.hint("merge"), ["length", "block"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("first") - 1).drop("first", "block")
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
