@@ -16,7 +16,7 @@ from patronage.llm.common import BLANK, stage
 from patronage.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_MARGIN = 0.1  # of the way from a blind guess among the languages to certainty
+LEAST_SCORE = 0.3
 # what no stage can express in SQL: trained weights, hashed draws, fitted patterns
 ORACLE_SQL = None
 
@@ -28,8 +28,7 @@ def row_key(docs: DataFrame) -> Column:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, or that no language is likely for, go: the score has to be
-    ``LEAST_MARGIN`` of the way from one over the number of languages to 1.
+    """Texts without a letter, or that no language is likely for, go.
 
     Where no row names its language nothing can be learned, and all texts with a letter stay.
     """
@@ -38,9 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     read = language_id.identify_languages(docs, model)
-    blind = 1 / len(model.languages)
-    least = blind + LEAST_MARGIN * (1 - blind)
-    fine = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least)
+    fine = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     return read.where(fine).select(*COLUMNS)
 
 
