@@ -95,3 +95,14 @@ def person():
         return {**row, **changes}
 
     return make
+
+
+@pytest.fixture(autouse=True)
+def _no_views_left(request):
+    """A test's temporary views do not reach the tests that list tables."""
+    yield
+    if "spark" in request.fixturenames:
+        session = request.getfixturevalue("spark")
+        for t in session.catalog.listTables():
+            if t.isTemporary:
+                session.catalog.dropTempView(t.name)

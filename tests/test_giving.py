@@ -305,3 +305,35 @@ def test_fiscal_years_are_contiguous(plan):
     years = sorted(r[0] for r in plan.giving.select("fiscal_year").distinct().collect())
     assert all(b - a == 1 for a, b in pairwise(years)) and years[-1] == 2017
     assert date(years[0], 1, 1) >= date(2006, 1, 1)
+
+
+def test_rows_of_one_status_and_kept_stages_give_the_same_giving(spark, plan):
+    w, policy = plan.wh, GivingPolicy()
+    sources = (w.gift, w.gift_attribute, w.gift_commitment, w.recurring_gift, w.installment_payment, w.calendar)
+    lineage = giving.commitment_lineage(w.installment_payment, w.gift, w.calendar)
+    realized = giving.realized_planned_gift_date(plan.ledger, w.gift, w.gift_attribute, w.calendar)
+    every = giving.countable_gifts(plan.ledger, *sources, policy)
+    included = giving.countable_gifts(plan.ledger, *sources, policy, status=giving.INCLUDE, lineage=lineage, realized=realized)
+    assert "_if_credited" not in included.columns
+    columns = ["cg_fact_id", "counted_year", "countable", "status"]
+    rows = sorted(map(str, included.select(*columns).collect()))
+    assert rows == sorted(map(str, every.where(F.col("status") == giving.INCLUDE).select(*columns).collect())) and rows
+    again = giving.giving_per_fiscal_year(
+        plan.ledger, w.constituent, *sources, plan.projections, policy, lineage=lineage, realized=realized
+    )
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in plan.giving.collect()}
+
+
+def test_a_credit_is_looked_up_once_however_often_it_is_given(spark):
+    rows = spark.createDataFrame([(1, 7, 10), (2, 8, 10), (3, 7, None)], f"gift_fact_id long, {PERSON} long, commitment_gift_fact_id long")
+    ledger = spark.createDataFrame([(10, 7), (10, 7), (11, 8)], f"gift_fact_id long, {PERSON} long")
+    marked = giving.mark_credited(rows, ledger)
+    got = marked.select("gift_fact_id", "is_credited").collect()
+    assert sorted(map(tuple, got)) == [(1, True), (2, None), (3, None)]
+    # the credits are made distinct in the exchange of the join
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = giving.mark_credited(rows, ledger)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert text.count("Exchange hashpartitioning") == 2

@@ -5,7 +5,7 @@ from patronage import fixed_values as fv
 from patronage.operators.generic import PERSON
 from patronage.operators.stage import materialize, shared_folder
 from patronage.sources import SCHEMAS, Warehouse, snake_case, write_extract
-from patronage.sources.retail import VIEWS, retail_warehouse
+from patronage.sources.retail import DIMENSIONS, VIEWS, retail_warehouse
 
 
 @pytest.mark.parametrize(
@@ -101,3 +101,11 @@ def test_collation_makes_codes_ignore_case(spark, table, tmp_path):
         policy = lists.AudiencePolicy()
         hits = wh.position.where(F.col("position").isin(*policy.excluded_positions))
         assert hits.count() == expected
+
+
+def test_small_dimensions_are_tables_with_the_rows_of_their_views(spark, data_dir):
+    lazy, kept = retail_warehouse(spark, data_dir), retail_warehouse(spark, data_dir, "table")
+    for name in DIMENSIONS:
+        assert all(shared_folder(spark) in f for f in kept[name].inputFiles()), name
+        assert kept[name].dtypes == lazy[name].dtypes
+        assert sorted(map(str, kept[name].collect())) == sorted(map(str, lazy[name].collect())), name
