@@ -237,3 +237,11 @@ def test_the_audit_takes_its_test_group_from_the_policy(plan):
             expected |= {r[0] for r in rows.select("fund_identifier").collect()}
         known = {r[0] for r in plan.wh.fund.select("fund_identifier").collect()}
         assert found(segment) == (expected & known) - open_
+
+
+def test_check_all_groups_by_the_keys_own_types(spark):
+    rows = spark.createDataFrame([(1, 0.0), (1, -0.0), (None, 1.0), (None, 1.0)], "k long, x double")
+    found = quality.check_all([quality.Check(rows, "a", ["k", "x"], ["k"]), quality.Check(rows, "no key", [], ["k"])])
+    assert "to_json" not in found._jdf.queryExecution().analyzed().toString()
+    got = sorted((r["stage"], r["rule"], r["violations"]) for r in found.collect())
+    assert got == [("a", "not null", 2), ("a", "unique", 2), ("no key", "not null", 2)]
