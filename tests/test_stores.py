@@ -245,3 +245,9 @@ def test_check_all_groups_by_the_keys_own_types(spark):
     assert "to_json" not in found._jdf.queryExecution().analyzed().toString()
     got = sorted((r["stage"], r["rule"], r["violations"]) for r in found.collect())
     assert got == [("a", "not null", 2), ("a", "unique", 2), ("no key", "not null", 2)]
+
+
+def test_the_extract_is_joined_in_steps(plan):
+    """A stage of few joins needs the memory of few sorts."""
+    names = [f.rsplit("/", 2)[-2].partition("-")[0] for f in plan.extract_rows.inputFiles()]
+    assert "people_8" in names
