@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from patronage.llm.common import stage
+from patronage.llm.common import session_settings, stage
 from patronage.llm.count_automaton import CountAutomaton, Grams, Phrase, count_grams, union
 
 FLUSH_WORDS = 1_000_000
@@ -43,6 +43,7 @@ MARK = 8192
 RANGE_GRAMS = 800_000
 MOST_RANGES = 200_000
 FAN = 512
+ROWS_AT_ONCE = 8  # texts or automata that a batch brings a task: Spark and the task both hold it
 READ = 1 << 20
 NO_LANGUAGE = "und"
 TAB = b"\t"  # parts the words of a phrase while it is a key
@@ -306,18 +307,19 @@ def collocations(
     text: str = "text",
 ) -> DataFrame:
     """Each language's ``top`` phrases: lang, rank, phrase, a, l, r, n, score."""
-    read = stage(segments(docs, lang, text), "segments")
-    total, ranges = ranges_of(read)
-    wide = FAN
-    while wide < ranges:
-        groups = max(1, total // (wide * RANGE_GRAMS))
-        read = stage(merged(read, range_bounds(read, wide), groups), "merged")
+    with session_settings(docs.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS_AT_ONCE)}):
+        read = stage(segments(docs, lang, text), "segments")
         total, ranges = ranges_of(read)
-        wide *= FAN
-    bounds = range_bounds(read, ranges)
-    automata = stage(united(read, bounds), "automata")
-    parts = stage(candidate_parts(automata, bounds, least), "parts")
-    counts = stage(counted_parts(automata, parts), "counted")
+        wide = FAN
+        while wide < ranges:
+            groups = max(1, total // (wide * RANGE_GRAMS))
+            read = stage(merged(read, range_bounds(read, wide), groups), "merged")
+            total, ranges = ranges_of(read)
+            wide *= FAN
+        bounds = range_bounds(read, ranges)
+        automata = stage(united(read, bounds), "automata")
+        parts = stage(candidate_parts(automata, bounds, least), "parts")
+        counts = stage(counted_parts(automata, parts), "counted")
     # a candidate is inside another as a part of it, at the start or the end
     inside = counts.select("lang", F.col("part").alias("phrase"), "longest")
     rows = scored(parts, counts).join(inside, ["lang", "phrase"], "left")

@@ -131,6 +131,15 @@ def test_collocations_equal_brute_force(spark, monkeypatch, edge_docs, limits):
     assert {tuple(r) for r in rows} == phrases([(r["lang"], r["text"]) for r in edge_docs.collect()], 3, 50, 40)
 
 
+def test_collocations_bring_a_task_few_texts_or_automata_at_once(spark, monkeypatch, edge_docs):
+    name, held = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, keep = spark.conf.get(name), collocations.stage
+    monkeypatch.setattr(collocations, "stage", lambda df, what: (held.append(spark.conf.get(name)), keep(df, what))[1])
+    collocations.collocations(edge_docs, least=3, top=40).collect()
+    assert held == [str(collocations.ROWS_AT_ONCE)] * 4
+    assert spark.conf.get(name) == before
+
+
 def test_collocations_of_nothing(no_docs, edge_docs):
     assert collocations.collocations(no_docs).count() == 0
     assert collocations.collocations(edge_docs.where("text IS NULL OR text = ''")).count() == 0
