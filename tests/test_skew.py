@@ -56,6 +56,26 @@ def test_salted_join_measures_another_table(hot):
     assert rows(salted) == rows(fact.join(side, ["k"], "left"))
 
 
+def test_an_inner_join_without_hot_keys_leaves_the_fact_where_it_lies(hot):
+    fact, side = hot
+    placed = fact.where("k IS NOT NULL").repartition(4, "k")
+    joined = skew.salted_join(placed, side, ["k"], "inner", skew.HotKeys(fact, ["k"]))
+    assert "_salt" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(joined) == rows(fact.join(side, ["k"]))
+
+
+def test_hot_keys_are_marked_without_a_shuffle_of_the_fact(spark, hot):
+    fact, side = hot
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = skew.salted_join(fact, side, ["k"], "left", partition_rows=50)._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    physical = plan[plan.index("== Physical Plan") :]
+    assert physical.count("BroadcastHashJoin") == 2 and physical.count("SortMergeJoin") == 1
+
+
 def test_hot_keys_get_salts_by_their_size(hot):
     fact, _ = hot
     assert [tuple(r) for r in skew.heavy_hitters(fact, ["k"], 300).collect()] == [(7, 4)]

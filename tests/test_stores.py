@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from patronage.operators import funds, generic, giving, quality, refresh, years
 from patronage.operators.generic import PERSON
+from patronage.operators.stage import materialize
 from patronage.operators.store import QualityError, StageStore
 from patronage.plans import MailingPlan
 from patronage.policy import GivingPolicy
@@ -251,3 +252,8 @@ def test_the_extract_is_joined_in_steps(plan):
     """A stage of few joins needs the memory of few sorts."""
     names = [f.rsplit("/", 2)[-2].partition("-")[0] for f in plan.extract_rows.inputFiles()]
     assert "people_8" in names
+
+
+def test_a_stage_kept_as_a_table_is_written_with_zstd(spark):
+    kept = materialize(spark.range(10), "packed", "table")
+    assert kept.inputFiles() and all(".zstd.parquet" in f for f in kept.inputFiles())
