@@ -82,3 +82,12 @@ def test_near_duplicates_keep_one_row_of_each_group(spark, odd):
     for r in kept:
         members = [d for d, g in zip(distinct, group, strict=True) if g == group[places[tuple(r)]]]
         assert least(tuple(r)) == min(map(least, members))
+
+
+def test_shuffles_go_when_a_write_inside_a_stage_ends(spark, data_dir, monkeypatch):
+    (name,), held = cp.DROP_SHUFFLES, []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(cp, "STAGES", [(n, lambda spark, docs, sf_dir: docs) for n in ("first", "second", "last")])
+    monkeypatch.setattr(cp, "stage", lambda df, what: (held.append(spark.conf.get(name)), df)[1])
+    cp.run(spark, data_dir)
+    assert held == ["true", "true"] and spark.conf.get(name) == before
