@@ -12,13 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from patronage.llm import language_id, mixing, ngram_join, packing, quality
-from patronage.llm.common import BLANK, session_settings, stage
+from patronage.llm.common import BLANK, DROP_SHUFFLES, session_settings, stage
 from patronage.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.3
-# each write inside a stage is read from its files, so its shuffles go when it ends, not when the driver collects
-DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 # what no stage can express in SQL: trained weights, hashed draws, fitted patterns
 ORACLE_SQL = None
 

@@ -52,7 +52,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from patronage.llm.common import stage
+from patronage.llm.common import DROP_SHUFFLES, session_settings, stage
 from patronage.llm.components import components
 
 WORDS = 5
@@ -271,6 +271,11 @@ def ngram_jaccard_join(
     if percent < PERCENT:
         raise ValueError(f"the sample's bounds hold for {PERCENT} % and more")
     docs = docs.select(F.col(key).alias(key), F.col(text).cast("string").alias("text"))
+    with session_settings(docs.sparkSession, DROP_SHUFFLES):
+        return _joined(docs, percent, key, count_links, bits)
+
+
+def _joined(docs: DataFrame, percent: int, key: str, count_links: bool, bits: int) -> DataFrame:
     read = stage(sketches(docs, "text", key, bits), "sketches")
     sets = stage(_distinct_sets(read, key), "sets")
     clashing, renumbered = sets.where("low <> high").select("set_id"), None

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks.compare import differences
-from patronage.llm import chat, collocations, compression, lexical, queries
+from patronage.llm import chat, collocations, compression, lexical, ngram_join, queries
+from patronage.llm.common import DROP_SHUFFLES
 from patronage.llm.count_automaton import CountAutomaton, Grams, count_grams, union
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -246,3 +247,13 @@ def test_chat_escapes_every_control_string_as_the_sql_does(spark):
     con = duckdb.connect()
     con.register("conversations", df.toPandas())
     assert differences(chat.digest(made).drop("round_trip"), queries.SQL["op4_chat_format"], con) == []
+
+
+def test_ngram_join_drops_its_shuffles_at_each_write(spark, monkeypatch):
+    (name,), held, stage = DROP_SHUFFLES, [], ngram_join.stage
+    before = spark.conf.get(name)
+    monkeypatch.setattr(ngram_join, "stage", lambda df, what: (held.append(spark.conf.get(name)), stage(df, what))[1])
+    docs = spark.createDataFrame([(i, " ".join("abcdefgh" if i % 2 else "stuvwxyz")) for i in range(6)], "doc_id long, text string")
+    classes = ngram_join.ngram_jaccard_join(docs, count_links=False).collect()
+    assert len({r["component_id"] for r in classes}) == 2
+    assert set(held) == {"true"} and len(held) > 5 and spark.conf.get(name) == before
