@@ -337,3 +337,27 @@ def test_a_credit_is_looked_up_once_however_often_it_is_given(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert text.count("Exchange hashpartitioning") == 2
+
+
+def test_production_gifts_meet_their_gifts_without_a_scan_before(plan, monkeypatch):
+    sketched = []
+    monkeypatch.setattr(giving.HotKeys, "counts", lambda self: sketched.append(self.columns) or {c: [] for c in self.columns})
+    spark, w = plan.wh.gift.sparkSession, plan.wh
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = giving.production_gifts(w.production, w.gift, w.fund, w.appeal, plan.solicitable, w.fund_translation)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert rows.columns and not any("gift_fact_id" in columns for columns in sketched)
+
+
+def test_giving_for_credits_shuffles_flags_and_no_texts(plan, monkeypatch):
+    kinds = []
+    mark = giving.mark_credited
+    monkeypatch.setattr(giving, "mark_credited", lambda rows, ledger: (kinds.append(dict(rows.dtypes)), mark(rows, ledger))[1])
+    w = plan.wh
+    giving.countable_gifts(
+        plan.ledger, w.gift, w.gift_attribute, w.gift_commitment, w.recurring_gift, w.installment_payment, w.calendar,
+        status=giving.INCLUDE,
+    )
+    assert kinds[0]["_if_credited"] == kinds[0]["_if_not"] == "boolean"
