@@ -235,3 +235,15 @@ def test_unmapped_translations(table):
         table("fund_translation", translation), table("solicitable_fund", [{"designation": "X"}] * 2)
     )
     assert [tuple(r) for r in got.collect()] == [("B", "Y")]
+
+
+def test_stages_with_one_reader_are_not_written(spark, data_dir, monkeypatch):
+    import __spark_entry__ as entry
+    from patronage.plans import mailing
+
+    written = []
+    monkeypatch.setattr(mailing, "materialize", lambda df, name, mode: (written.append((name, mode)), df)[1])
+    entry.queries()["dedupe_sequence"](spark, data_dir)
+    modes = dict(written)
+    assert {n for n, mode in modes.items() if mode == "lazy"} == {"production_gifts", "giving"}
+    assert modes["rankings"] == modes["cascade"] == modes["ledger"] == modes["education"] == "table"
