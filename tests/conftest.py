@@ -28,6 +28,15 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def views_end_with_their_module():
+    yield
+    session = SparkSession.getActiveSession()
+    for found in session.catalog.listTables() if session else []:
+        if found.isTemporary:
+            session.catalog.dropTempView(found.name)
+
+
 @pytest.fixture(scope="session")
 def data_dir():
     return DATA
