@@ -1,11 +1,15 @@
+from collections import Counter
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from patronage import fixed_values as fv
+from patronage.operators import giving
 from patronage.operators.generic import PERSON
 from patronage.operators.stage import materialize, shared_folder
 from patronage.sources import SCHEMAS, Warehouse, snake_case, write_extract
-from patronage.sources.retail import DIMENSIONS, VIEWS, retail_warehouse
+from patronage.sources.retail import ARRANGED, DIMENSIONS, VIEWS, retail_warehouse, tables_in
 
 
 @pytest.mark.parametrize(
@@ -109,3 +113,45 @@ def test_small_dimensions_are_tables_with_the_rows_of_their_views(spark, data_di
         assert all(shared_folder(spark) in f for f in kept[name].inputFiles()), name
         assert kept[name].dtypes == lazy[name].dtypes
         assert sorted(map(str, kept[name].collect())) == sorted(map(str, lazy[name].collect())), name
+
+
+def test_arranged_views_have_the_rows_of_their_views(spark, data_dir):
+    for name, text in ARRANGED.items():
+        read = lambda t: {n: spark.read.parquet(f"{data_dir}/{n}.parquet") for n in tables_in(t)}
+        plain, arranged = (spark.sql(t, **read(t)) for t in (VIEWS[name], text))
+        assert text != VIEWS[name] and arranged.dtypes == plain.dtypes, name
+        assert Counter(map(str, arranged.collect())) == Counter(map(str, plain.collect())), name
+
+
+def test_payments_find_the_commitments_of_their_year_and_the_years_beside_it(spark):
+    when = lambda year: datetime(year, 8, 1)
+    orders = spark.createDataFrame(
+        [(1, 7, when(2000)), (2, 7, when(2000)), (3, 7, when(2001)), (3, 7, when(2001)), (4, None, when(2001)),
+         (None, 7, when(2000)), (5, 7, None), (6, 8, when(2001))],
+        "o_orderkey long, o_custkey long, o_orderdate timestamp_ntz",
+    )
+    lines = [(o, n) for o in (1, 2, 3, 4, 5, 6, None) for n in (1, 2, 2, -1, None)]
+    tables = {"orders": orders, "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int")}
+    texts = VIEWS["installment_payment"], ARRANGED["installment_payment"]
+    plain, arranged = (Counter(map(tuple, spark.sql(t, **tables).collect())) for t in texts)
+    assert arranged == plain and arranged[(3, 4)] == 2 and arranged[(2, 4)] == 2 and arranged[(2, 10)] == 1
+
+
+def test_production_meets_gifts_and_payments_meet_commitments_without_another_shuffle(spark, data_dir):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        w = retail_warehouse(spark, data_dir, "table")
+        met = w.production.join(w.gift.select("gift_fact_id", "fund_dim_id"), "gift_fact_id")
+        assert _exchanges(met) == 5  # lines by part, parts, lines by order, orders, gifts
+        links = w.installment_payment.distinct()
+        assert _exchanges(links) == 6  # orders by payer and year, its years thrice, orders and lines by order
+        lineage = giving.commitment_lineage(w.installment_payment, w.gift, w.calendar)
+        text = lineage._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan parquet [l_orderkey") == 1  # payments are put together once
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")

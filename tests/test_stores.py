@@ -77,6 +77,18 @@ def test_the_extract_joins_stages_of_persons_without_an_exchange(spark, data_dir
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_a_table_near_a_key_is_joined_without_an_exchange_and_leaves_no_name(spark):
+    rows = spark.createDataFrame([(i % 7 or None, f"v{i}") for i in range(40)], "k long, v string")
+    side = spark.createDataFrame([(i, i * 2) for i in range(7)], "k long, n long")
+    kept = materialize(rows, "near", "table", ["k"])
+    assert kept.columns == rows.columns and Counter(kept.collect()) == Counter(rows.collect())
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("near")]
+    joined = kept.join(side.hint("merge"), "k", "left")
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in text and text.count("Exchange hashpartitioning") == 1
+    assert Counter(joined.collect()) == Counter(rows.join(side, "k", "left").collect())
+
+
 def test_a_repeated_person_stops_the_mailing(spark, data_dir):
     wh = retail_warehouse(spark, data_dir)
     tables = {name: wh[name] for name in SCHEMAS}
