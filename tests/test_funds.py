@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from patronage.operators import funds, generic, lists
 from patronage.operators.generic import PERSON
+from patronage.operators.stage import materialize
 from patronage.policy import CASCADE, SuggestionPolicy
 
 GIFT = f"{PERSON} bigint, fund_identifier_trans string, gift_date timestamp_ntz, amount decimal(19,4), is_matching_gift string"
@@ -226,6 +227,23 @@ def test_sequences_have_no_gaps(plan):
     assert summary.where("n <> last OR n <> distinct OR n <> funds").count() == 0
 
 
+def test_stages_of_persons_are_not_gathered_in_the_driver(spark, table, person):
+    """Packed columns: their files are under the broadcast limit with any number of rows."""
+    people = spark.range(200_000).withColumnRenamed("id", PERSON)
+    texts = ["school_name", "school_type_trans", "department"]
+    degrees = materialize(people.select(PERSON, *[F.lit(f"The same {c}").alias(c) for c in texts]), "degrees", "table")
+    pairs = materialize(people.select(PERSON, (F.col(PERSON) + 1).alias("spouse_dim_id")), "pairs", "table")
+    constituent = table("constituent", [person(k) for k in (1, 2)])
+    education, attribute, departments = (table(n, []) for n in ("education", "education_attribute", "department_fund"))
+    eligible = funds.eligibility(constituent, degrees, education, attribute, pairs)
+    academic = funds.academic_funds(degrees, departments, pairs, SuggestionPolicy())
+    for df in (eligible, academic):
+        executed = df._jdf.queryExecution().executedPlan().toString()
+        assert f"BroadcastHashJoin [{PERSON}" not in executed and f"SortMergeJoin [{PERSON}" in executed
+    got = {r[PERSON]: (r["school_name"], r["spouse_dim_id"]) for r in eligible.collect()}
+    assert got == {1: ("The same school_name", 2), 2: ("The same school_name", 3)}
+
+
 def test_unmapped_translations(table):
     translation = [
         {"fund_identifier": "A", "suggested_fund_identifier": "X"},

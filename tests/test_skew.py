@@ -127,6 +127,12 @@ def test_balanced_lookup_salts_a_large_side_only(spark, hot, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+@pytest.mark.parametrize("how", HOW)
+def test_merged_lookup_equals_plain_join(hot, how):
+    fact, side = hot
+    assert rows(skew.merged_lookup(fact, side, "k", how)) == rows(fact.join(side, ["k"], how))
+
+
 @pytest.mark.parametrize(
     ("text", "size"), [("10485760b", 10485760), ("10MB", 10485760), ("-1", -1), ("2g", 2**31)]
 )
