@@ -1,10 +1,13 @@
+import re
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from patronage.operators import segments
 from patronage.operators.generic import PERSON
 from patronage.operators.giving import annual_giving_years
+from patronage.operators.stage import materialize
 
 MULTI = "2YRG2-3LAPSED"
 
@@ -135,3 +138,21 @@ def test_manager_fallback(table):
     )
     got = {tuple(r) for r in segments.manager_fallback(rows).collect()}
     assert got == {(1, "A", "C", ""), (2, "D", "", "E"), (3, "F", "", "")}
+
+
+def test_households_and_segments_are_not_gathered_in_the_driver(spark):
+    """Packed columns: their files are under the broadcast limit with any number of rows."""
+    people = spark.range(200_000).withColumnRenamed("id", PERSON)
+    members = materialize(people, "members", "table")
+    named = materialize(people.withColumn("marketing_segment", F.lit("4PLUS")), "named", "table")
+    donor_types = people.where(f"{PERSON} < 2").withColumn("dpag_donor_type_bucket", F.lit("4+ Year Lapsed"))
+    averages = spark.createDataFrame([(1, Decimal(100))], f"{PERSON} bigint, avg_amount decimal(19,4)")
+    giving = spark.createDataFrame([], f"{PERSON} bigint, fiscal_year int, amount decimal(19,4)")
+    found = segments.segment(members, donor_types, giving, giving.select(PERSON, "fiscal_year"))
+    asks = segments.ask_array(members, named, averages)
+    for df in (found, asks):
+        executed = df._jdf.queryExecution().executedPlan().toString()
+        before = [executed[: at.start()] for at in re.finditer("FileScan parquet", executed)]
+        assert before and all(text.rfind("BroadcastExchange") <= text.rfind("Exchange hash") for text in before)
+    assert [r[PERSON] for r in found.orderBy(PERSON).collect()] == [0, 1]
+    assert asks.count() == 200_000
